@@ -11,6 +11,7 @@ from loomery.llm.encoding import encode_corpus
 from loomery.llm.frequency import mark_terms, term_counts
 from loomery.llm.leak import leaked_items
 from loomery.llm.lines import repeated_lines, without_lines
+from loomery.llm.neardup import NearDuplicates
 from loomery.llm.splitting import split_oversized
 from loomery.sources.tables import table
 
@@ -28,6 +29,14 @@ def _p2_near(spark: SparkSession, folder: str) -> DataFrame:
     return repeated_lines(table(spark, folder, "hits"), near=True)
 
 
+def _p3_found(spark: SparkSession, folder: str) -> DataFrame:
+    return NearDuplicates(table(spark, folder, "hits")).pairs()
+
+
+def _p3_groups(spark: SparkSession, folder: str) -> DataFrame:
+    return NearDuplicates(table(spark, folder, "hits")).groups()
+
+
 def _p4_pieces(spark: SparkSession, folder: str) -> DataFrame:
     return split_oversized(table(spark, folder, "hits"))
 
@@ -64,6 +73,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "p2_found": _p2_found,
         "p2_clean": _p2_clean,
         "p2_near": _p2_near,
+        "p3_found": _p3_found,
+        "p3_groups": _p3_groups,
         "p4_found": _p4_found,
         "p4_pieces": _p4_pieces,
         "p4_section_pieces": _p4_section_pieces,
