@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from loomery.llm.canonical import map_rows
 from loomery.llm.encoding import encode_corpus
 from loomery.llm.frequency import mark_terms, term_counts
 from loomery.llm.leak import leaked_items
@@ -16,6 +17,21 @@ from loomery.llm.splitting import split_oversized
 from loomery.sources.tables import table
 
 
+def _typed_places(spark: SparkSession, folder: str) -> DataFrame:
+    jobs = table(spark, folder, "job_locations").select(F.lit("job_locations").alias("tbl"), F.col("location_id").alias("row_id"), F.col("raw_location").alias("value"))
+    hits = table(spark, folder, "hits").select(F.lit("hits").alias("tbl"), F.col("hit_id").alias("row_id"), F.col("location").alias("value"))
+    return jobs.unionAll(hits)
+
+
+def _p1_found(spark: SparkSession, folder: str) -> DataFrame:
+    return map_rows(_typed_places(spark, folder), table(spark, folder, "places")).select("tbl", "row_id", "place_id")
+
+
+def _p1_unmatched(spark: SparkSession, folder: str) -> DataFrame:
+    mapped = map_rows(_typed_places(spark, folder), table(spark, folder, "places"))
+    return mapped.where("place_id = 0").groupBy("value").agg(F.count(F.lit(1)).alias("rows"))
+
+
 def _p2_found(spark: SparkSession, folder: str) -> DataFrame:
     return repeated_lines(table(spark, folder, "hits"))
 
@@ -70,6 +86,8 @@ def _p7_found(spark: SparkSession, folder: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "p1_found": _p1_found,
+        "p1_unmatched": _p1_unmatched,
         "p2_found": _p2_found,
         "p2_clean": _p2_clean,
         "p2_near": _p2_near,
