@@ -14,6 +14,7 @@ from loomery.llm.leak import leaked_items
 from loomery.llm.lines import repeated_lines, without_lines
 from loomery.llm.neardup import NearDuplicates
 from loomery.llm.splitting import split_oversized
+from loomery.llm.stuffing import stuffed_pages
 from loomery.sources.tables import table
 
 
@@ -84,6 +85,14 @@ def _p7_found(spark: SparkSession, folder: str) -> DataFrame:
     return leaked_items(table(spark, folder, "documents"), table(spark, folder, "questions"))
 
 
+def _p8_pages(spark: SparkSession, folder: str) -> DataFrame:
+    return stuffed_pages(table(spark, folder, "documents"))
+
+
+def _p8_found(spark: SparkSession, folder: str) -> DataFrame:
+    return _p8_pages(spark, folder).where("stuffed").select("doc_id")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "p1_found": _p1_found,
@@ -100,6 +109,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "p5_terms": _p5_terms,
         "p6_ids": _p6_ids,
         "p7_found": _p7_found,
+        "p8_found": _p8_found,
+        "p8_pages": _p8_pages,
     }
 
 
