@@ -186,15 +186,16 @@ def map_values(values: DataFrame, places: DataFrame, value: str = "value", least
     place_id. The reference list is collected in blocks of ``most_places`` rows, so what is broadcast is bounded.
     """
     spark = values.sparkSession
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))  # few bytes, but much work each: keep all cores busy
     asked = stash(values.select(F.col(value).alias("value")).where(filled(F.col("value"))).distinct())
 
     def parse(batch: pa.RecordBatch) -> pa.RecordBatch:
         parsed = [parse_value(v) for v in batch.column(0).to_pylist()]
         return batch_of(value=(batch.column(0), None), tokens=([p[0] for p in parsed], pa.list_(pa.string())), regions=([p[1] for p in parsed], pa.list_(pa.string())))
 
-    parsed = stash(map_arrow(asked, parse, "value string, tokens array<string>, regions array<string>"))
+    parsed = stash(map_arrow(asked.repartition(tasks), parse, "value string, tokens array<string>, regions array<string>"))
     typed = parsed.select("value", F.explode("tokens").alias("token"))
-    tokens = stash(typed.select("token").distinct())
+    tokens = typed.select("token").distinct().repartition(tasks)
     listed = places.select(F.col("place_id").cast("int").alias("place_id"), "city", "aliases", "state_code", "country_code")
     count = listed.count()
     blocks = max(1, -(-count // most_places))
