@@ -25,6 +25,15 @@ def local_session(cores: int | str = "*", name: str = "loomery", memory: str = "
     return session
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """A scan with fewer partitions than the cluster has cores, dealt out over all of them; any other as it is.
+
+    For operators that spend much work on each row: a few unsplittable files would otherwise keep most cores idle.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df._jdf.queryExecution().toRdd().getNumPartitions() >= cores else df.repartition(cores)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Cut the lineage with a reliable checkpoint, so that lost executors never force a recomputation.
 
