@@ -168,7 +168,7 @@ def edits(a: str, b: str, most: int) -> int:
         if min(new) > most:
             return most + 1
         older, old = old, new
-    return old[-1]
+    return min(old[-1], most + 1)
 
 
 def map_values(values: DataFrame, places: DataFrame, value: str = "value", least_score: float = 0.6, most_places: int = 20_000) -> DataFrame:
