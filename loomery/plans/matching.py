@@ -120,6 +120,10 @@ QUERIES = {
         lambda s, d: _locations(s, d).select("location_id", F.array_join(place.parts(F.col("raw_location")), "|").alias("parts"), place.first_match(F.col("raw_location"), COUNTRIES).alias("country")),
         f"SELECT location_id, array_to_string(ps, '|') AS parts, {_COUNTRY('ps')} AS country FROM (SELECT location_id, {_PIECES(_PLACE('raw_location'))} AS ps FROM job_locations)",
     ),
+    "location_parse": (
+        lambda s, d: _locations(s, d).select("location_id", place.parse(F.col("raw_location")).alias("p")).select("location_id", "p.country", "p.state", "p.city", "p.work_mode", "p.remote_scope", "p.confidence"),
+        None,
+    ),
     "location_scope": (
         lambda s, d: _locations(s, d).select("location_id", place.without_mode(F.col("raw_location")).alias("place"), place.scope(F.col("raw_location"), F.col("country"), F.col("remote_states")).alias("scope")),
         None,

@@ -2,7 +2,8 @@
 
 from pyspark.sql import functions as F
 
-from loomery.operators import answer, evaluate, place, resume, skills
+from loomery.config import Config
+from loomery.operators import answer, ask, evaluate, place, resume, skills
 from loomery.operators.sample import first_of_each, round_robin, snapshot_delta
 
 
@@ -82,3 +83,49 @@ def test_samples_and_delta(spark):
     after = spark.createDataFrame([(0, "a"), (1, "z"), (20, "a")], "doc_id long, source string")
     states = {r.doc_id: r.state for r in snapshot_delta(rows.where("doc_id < 3"), after, "doc_id", ["source"]).collect()}
     assert states == {0: "same", 1: "changed", 2: "closed", 20: "new"}
+
+
+def test_location_parse(spark):
+    cases = {
+        "Toronto, CA": ("ca", None, "toronto", "NOT_REMOTE", "high"), "San Francisco, CA": ("us", "ca", "san francisco", "NOT_REMOTE", "medium"), "Remote - CA, TX, NY": ("us", None, None, "US_STATES", "high"),
+        "Remote": (None, None, None, "UNKNOWN", "low"), "Anywhere in the US": ("us", None, None, "US", "high"), "Remote, United States": ("us", None, None, "US", "high"),
+        "Remote - North America": (None, None, None, "REGION", "medium"), "Worldwide": (None, None, None, "GLOBAL", "high"), "Bangalore, India": ("in", None, "bangalore", "NOT_REMOTE", "high"),
+        "London, UK": ("gb", None, "london", "NOT_REMOTE", "high"), "Ulm, DE": ("us", "de", "ulm", "NOT_REMOTE", "medium"), "New York, NY": ("us", "ny", None, "NOT_REMOTE", "high"),
+        "Hybrid - Austin, TX": ("us", "tx", None, "NOT_REMOTE", "high"), "": (None, None, None, "NOT_REMOTE", "low"), None: (None, None, None, "NOT_REMOTE", "low"),
+    }
+    rows = spark.createDataFrame([(k,) for k in cases], "x string").select("x", place.parse(F.col("x")).alias("p")).collect()
+    assert {r.x: (r.p.country, r.p.state, r.p.city, r.p.remote_scope, r.p.confidence) for r in rows} == cases
+    by = {r.x: r.p for r in rows}
+    assert by["Remote - CA, TX, NY"].remote_states == ["ca", "ny", "tx"] and by["Remote - North America"].region_countries == ["ca", "mx", "us"] and by["Worldwide"].work_mode == "remote"
+
+
+def test_config():
+    held = Config.from_environment({"LOOMERY_CANDIDATES": "40", "LOOMERY_LEAST_SIMILARITY": "0.5", "OTHER": "x"})
+    assert (held.candidates, held.least_similarity, held.problems()) == (40, 0.5, [])
+    assert len(Config(chunk_overlap=2000, results=30, strategy="x").problems()) == 3
+    assert "judge independent" in Config(generator="a", judge="b").describe() and "same as generator" in Config(generator="a", judge="a").describe()
+
+
+def test_ask_many(spark):
+    hits = spark.createDataFrame([("a", 1, 0.9, "t1"), ("a", 2, 0.7, "t2"), ("b", 1, 0.3, "t3"), ("c", 1, 0.8, "t4"), ("d", 1, 0.8, "t5")], "qid string, rank int, sim double, text string")
+    for c in ("company", "title", "section", "location", "compensation"):
+        hits = hits.withColumn(c, F.lit("x"))
+    asked = spark.createDataFrame([(q, f"question {q}") for q in "abcde"], "qid string, question string")
+
+    def model(prompts):
+        return ["INSUFFICIENT_CONTEXT" if "question c" in p else "said [2] [9]" for p in prompts]
+
+    def verifier(prompts):
+        return ['{"total_claims": 2, "unsupported_claims": %d}' % ("question d" in p) for p in prompts]
+
+    got = {r.qid: r for r in ask.ask(hits, asked, model, verifier).collect()}
+    assert {q: r.outcome for q, r in got.items()} == {"a": "answered", "b": "refused: similarity", "c": "refused: model", "d": "refused: claims", "e": "refused: similarity"}
+    assert got["a"].citations == [2] and got["a"].dangling == 1 and got["b"].reply is None and len(got["a"].trace) == 3
+    assert ask.markdown(asked.orderBy("qid").limit(1)) == "| qid | question |\n|---|---|\n| a | question a |"
+
+
+def test_rerank(spark):
+    hits = spark.createDataFrame([("a", 1, "q", "x"), ("a", 2, "q", "yyy"), ("a", 3, "q", "zz")], "qid string, rank int, question string, text string")
+    got = ask.rerank(hits, lambda pairs: [float(len(t)) for _, t in pairs], 2).orderBy("rank").collect()
+    assert [(r.text, r.fused_rank) for r in got] == [("yyy", 2), ("zz", 3)]
+    assert [r.text for r in ask.rerank(hits, None, 2).orderBy("rank").collect()] == ["x", "yyy"]
