@@ -143,14 +143,13 @@ def test_large_classes_stay_linear_and_keep_their_links(spark):
 
 
 def test_large_buckets_lose_no_pair(spark):
-    rng = random.Random(8)
-    words = [f"w{i}" for i in range(100)]
     sets = list(range(23))
-    banded = spark.createDataFrame([(7, i) for i in sets] * 2 + [(9, 1), (9, 2), (8, 5)], "band long, set_id long")
-    want = {(a, b) for a in sets for b in sets if a < b}
-    for most in (1, 4, 22, 23, 100):
-        assert {tuple(r) for r in neardup.bucket_pairs(banded, most).collect()} == want
-    del rng, words
+    rows = [(i, [7, 100 + i % 2, 200 + i]) for i in sets] * 2 + [(50, [1000, 101, 8]), (51, [1001, 1002, 8]), (52, [1003, 1004, 1005]), (0, [])]
+    held = spark.createDataFrame(rows, "set_id long, bands array<long>")
+    want = {(a, b) for a in sets for b in sets if a < b} | {(i, 50) for i in sets if i % 2} | {(50, 51)}
+    for most, block in ((1, 2), (2, 5), (4, 100), (22, 7), (23, 7), (100, 100)):
+        got = [tuple(r) for r in neardup.bucket_pairs(held, most, block).collect()]
+        assert set(got) == want and len(got) == len(want)
 
 
 def test_estimate_is_close(spark):
