@@ -67,14 +67,16 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int, key: str = "vec_id",
     for number in range(max(1, -(-count // block))):
         part = asked if count <= block else asked.where(F.pmod(F.xxhash64("q"), F.lit(-(-count // block))) == number)
         held = part.orderBy("q").collect()
+        if not held:
+            continue
         names = [r.q for r in held]
-        matrix = np.array([r.v for r in held], np.float64).reshape(len(held), -1)
+        matrix = np.array([r.v for r in held], np.float64)
         sent = spark.sparkContext.broadcast((names, _unit(matrix)))
 
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
             names, unit = sent.value
             for batch in batches:
-                if not batch.num_rows or not names:
+                if not batch.num_rows:
                     continue
                 keys = batch.column(0).to_pylist()
                 values = _unit(batch.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(batch.num_rows, -1))
@@ -87,6 +89,8 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int, key: str = "vec_id",
                 )
 
         found.append(rows.mapInArrow(run, f"q {qkind}, k {kind}, sim double"))
+    if not found:
+        found.append(spark.createDataFrame([], f"q {qkind}, k {kind}, sim double"))
     scored = reduce(DataFrame.unionAll, found).select(F.col("q").alias(query), F.col("k").alias(key), "sim")
     return top_k(scored, k, query, [F.desc("sim"), F.col(key)])
 
