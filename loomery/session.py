@@ -34,30 +34,12 @@ def spread(df: DataFrame) -> DataFrame:
     return df if df._jdf.queryExecution().toRdd().getNumPartitions() >= cores else df.repartition(cores)
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a reliable checkpoint, so that lost executors never force a recomputation.
-
-    The folder is the one the cluster names in ``spark.checkpoint.dir``; only a local session without one gets a
-    folder of its own, since a cluster's machines do not share it.
-    """
-    spark = df.sparkSession
-    context = spark.sparkContext
-    if context._jsc.sc().getCheckpointDir().isEmpty():
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        if folder is None:
-            if not context.master.startswith("local"):
-                raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-            import tempfile
-
-            folder = tempfile.mkdtemp(prefix="loomery-checkpoint-")
-        context.setCheckpointDir(folder)
-    return df.checkpoint(eager=True)
-
-
 def stash(df: DataFrame) -> DataFrame:
     """Write an intermediate result as a Parquet table beside the checkpoints and read it back.
 
-    Like ``cut`` it ends the lineage, but columnar and compressed. The table is deleted when the driver ends.
+    It ends the lineage like a checkpoint, but columnar and compressed; executors that are lost later cost their own tasks
+    only. The folder is the one the cluster names in ``spark.checkpoint.dir``; only a local session without that setting
+    uses a temporary one, since a cluster's machines do not share it. The table is deleted when the driver ends.
     """
     import atexit
     import uuid
