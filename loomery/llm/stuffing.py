@@ -19,6 +19,8 @@ TOKEN = re.compile(r"[぀-ヿ㐀-鿿]|[^\W_぀-ヿ㐀-鿿]+")
 PROFILE = 80
 #: Labels that stand for an unknown or mixed language.
 UNKNOWN = ("xx", "un", "zx", "mu")
+#: Sentences seldom hold more words than this in a row without a word of a profile.
+APART = 8
 
 
 def language_of(label: Column) -> Column:
@@ -67,9 +69,21 @@ def word_profiles(rows: DataFrame, text: str = "text", label: str = "lang", leas
     return shares.select("language", "word", (F.col("tokens") / F.col("whole")).alias("share"))
 
 
+def loose_share(held: Counter[str], page: list[str], shares: dict[str, float]) -> float:
+    """Share of a page's letters in runs of more than ``APART`` words without any word of ``shares``.
+
+    Tags, lists and links leave such runs wherever they stand, also between sentences of one line. A word that is used
+    over four times as much as in prose, as by repeated phrases, does not end a run.
+    """
+    n = len(page)
+    ends = {w for w in held.keys() & shares.keys() if held[w] <= 4 * shares[w] * n + 4}
+    at = [-1, *[i for i, w in enumerate(page) if w in ends], n]
+    return sum(sum(map(len, page[i + 1 : j])) for i, j in zip(at, at[1:]) if j - i > APART) / max(1, sum(map(len, page)))
+
+
 def page_curves(rows: DataFrame, profiles: dict[str, dict[str, float]], key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Of each filled page: key, row, language (the nearest profile), tokens, types, likeness to the language's prose and
-    steps of its rank-frequency curve as (frequency, words of that frequency).
+    """Of each filled page: key, row, language (the nearest profile), tokens, types, likeness to the language's prose, loose
+    (the share of its letters far from any word of a profile of any language, so that two languages do no harm) and steps of its rank-frequency curve as (frequency, words of that frequency).
 
     Likeness is the overlap of the page's distribution with twice the profile's over the profile's words, as a share of
     the profile's mass: about 1 or more for prose; a word that is repeated beyond its use in prose adds nothing. A page
@@ -81,11 +95,15 @@ def page_curves(rows: DataFrame, profiles: dict[str, dict[str, float]], key: str
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = [(name, sum(p.values()), {w: 2 * s for w, s in p.items()}) for name, p in sorted(sent.value.items())]
+        shares: dict[str, float] = {}
+        for p in sent.value.values():
+            shares.update({w: s for w, s in p.items() if s > shares.get(w, 0.0)})
         for batch in batches:
-            language, tokens, types, likeness, steps = [], [], [], [], []
+            language, tokens, types, likeness, loose, steps = [], [], [], [], [], []
             for t in batch.column(1).to_pylist():
-                held = Counter(TOKEN.findall(t.lower()))
-                n = held.total()
+                page = TOKEN.findall(t.lower())
+                held = Counter(page)
+                n = len(page)
                 best, like = None, 0.0 if n else 1.0
                 for name, mass, double in known:
                     met = held.keys() & double.keys()
@@ -98,14 +116,15 @@ def page_curves(rows: DataFrame, profiles: dict[str, dict[str, float]], key: str
                 tokens.append(n)
                 types.append(len(held))
                 likeness.append(like)
+                loose.append(loose_share(held, page, shares) if shares else 0.0)
                 steps.append([{"f": f, "c": c} for f, c in sorted(Counter(held.values()).items(), reverse=True)])
             yield batch_of(**{
                 key: (batch.column(0), None), "language": (language, pa.string()), "tokens": (tokens, pa.int32()), "types": (types, pa.int32()),
-                "likeness": (likeness, pa.float64()), "steps": (steps, pa.list_(step)),
+                "likeness": (likeness, pa.float64()), "loose": (loose, pa.float64()), "steps": (steps, pa.list_(step)),
             })
 
     ready = rows.select(F.col(key).alias(key), F.col(text).alias("_text")).where(filled(F.col("_text")))
-    mapped = ready.mapInArrow(run, f"`{key}` {kind}, language string, tokens int, types int, likeness double, steps array<struct<f:int,c:int>>")
+    mapped = ready.mapInArrow(run, f"`{key}` {kind}, language string, tokens int, types int, likeness double, loose double, steps array<struct<f:int,c:int>>")
     return mapped.withColumn("row", F.monotonically_increasing_id())
 
 
@@ -129,24 +148,27 @@ def fit_curves(pages: DataFrame, key: str = "doc_id") -> DataFrame:
     return pages.drop("steps").join(fitted, "row", "left").fillna(0.0, ["slope", "residual"])
 
 
-def judge(pages: DataFrame, half: float = 0.5, far: float = 3.8, steep: float = 5.0, unlike: float = 0.85, least_peers: int = 20) -> DataFrame:
+def judge(pages: DataFrame, half: float = 0.5, far: float = 3.8, steep: float = 5.0, apart: float = 2.0, unlike: float = 0.85, least_peers: int = 20) -> DataFrame:
     """Pages with stuffed, told from pages of the same language at comparable lengths (tokens within a factor of two).
 
     Peers are the pages with at least 0.6 of their language's median likeness, since among long pages the stuffed ones
-    may be the majority. Median and spread (from the quartiles) of likeness, slope and residual come from the peers of the
-    page's language and length; of its language, then of all, where there are fewer than ``least_peers``. A page is stuffed if its likeness is under ``half`` of its peers' median and ``far`` spreads below
-    it (never under the spread that sampling alone gives to so few words); or if its curve is ``steep`` spreads steeper,
-    or fits its line ``steep`` spreads worse, and its likeness is under ``unlike`` of the median.
+    may be the majority. Median and spread (from the quartiles) of likeness, loose, slope and residual come from the peers of
+    the page's language and length; of its language, then of all, where there are fewer than ``least_peers``. A page is
+    stuffed if its likeness is under ``half`` of its peers' median and ``far`` spreads below it (never under the spread that
+    sampling alone gives to so few words); or if more than ``half`` of what is not loose in its peers is loose in it, ``apart``
+    spreads above them, whatever its sentences score; or if its curve is ``steep`` spreads steeper, or fits its line
+    ``steep`` spreads worse, and its likeness is under ``unlike`` of the median.
     """
     sized = pages.withColumn("length", F.floor(F.log2(F.greatest("tokens", F.lit(1)))).cast("int"))
     quartiles = lambda c: F.percentile_approx(c, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)), 1000).alias(c)
     levels = sized.withColumn("language", F.coalesce("language", F.lit("")))
     usual = stash(levels.groupBy("language").agg(F.percentile_approx("likeness", 0.5, 1000).alias("usual")))
     prose = levels.join(F.broadcast(usual), "language").where(F.col("likeness") >= 0.6 * F.col("usual"))
-    peers = prose.rollup("language", "length").agg(F.count(F.lit(1)).alias("n"), *[quartiles(c) for c in ("likeness", "slope", "residual")], F.grouping_id().alias("level"))
-    peers = stash(peers.select("language", "length", "n", "level", *[F.col(c)[1].alias(f"{c}_mid") for c in ("likeness", "slope", "residual")], *[((F.col(c)[2] - F.col(c)[0]) / 1.349).alias(f"{c}_sd") for c in ("likeness", "slope", "residual")]))
+    measures = ("likeness", "loose", "slope", "residual")
+    peers = prose.rollup("language", "length").agg(F.count(F.lit(1)).alias("n"), *[quartiles(c) for c in measures], F.grouping_id().alias("level"))
+    peers = stash(peers.select("language", "length", "n", "level", *[F.col(c)[1].alias(f"{c}_mid") for c in measures], *[((F.col(c)[2] - F.col(c)[0]) / 1.349).alias(f"{c}_sd") for c in measures]))
     out = levels
-    columns = [f"{c}_{k}" for c in ("likeness", "slope", "residual") for k in ("mid", "sd")]
+    columns = [f"{c}_{k}" for c in measures for k in ("mid", "sd")]
     for level, keys in ((0, ["language", "length"]), (1, ["language"])):
         at = peers.where((F.col("level") == level) & (F.col("n") >= least_peers)).select(*keys, *[F.col(c).alias(f"{c}{level}") for c in columns])
         out = out.join(F.broadcast(at), keys, "left")  # at most the two-letter languages times the powers of two
@@ -156,14 +178,16 @@ def judge(pages: DataFrame, half: float = 0.5, far: float = 3.8, steep: float =
     chance = F.sqrt(1.5 / F.greatest("tokens", F.lit(1)))
     unlikely = (F.col("likeness_mid") - F.col("likeness")) / F.greatest("likeness_sd", chance)
     diverges = (F.col("likeness") < half * F.col("likeness_mid")) & (unlikely > far)
+    more = F.col("loose") - F.col("loose_mid")
+    scattered = (more > half * (1 - F.col("loose_mid"))) & (more > apart * F.greatest("loose_sd", F.sqrt(0.5 / F.greatest("tokens", F.lit(1)))))
     steeper = (F.col("slope_mid") - F.col("slope")) / F.greatest("slope_sd", F.lit(0.07)) > steep
     rougher = (F.col("residual") - F.col("residual_mid")) / F.greatest("residual_sd", F.lit(0.04)) > steep
-    stuffed = diverges | ((steeper | rougher) & (F.col("likeness") < unlike * F.col("likeness_mid")))
+    stuffed = diverges | scattered | ((steeper | rougher) & (F.col("likeness") < unlike * F.col("likeness_mid")))
     return out.select(*pages.columns, stuffed.alias("stuffed"))
 
 
 def stuffed_pages(rows: DataFrame, key: str = "doc_id", text: str = "text", label: str = "lang") -> DataFrame:
-    """Each filled page with language, tokens, types, likeness, slope, residual and stuffed.
+    """Each filled page with language, tokens, types, likeness, loose, slope, residual and stuffed.
 
     Null, empty and blank texts are left out; texts without words are never stuffed. Labels only serve to learn the
     languages' profiles: a page is compared with the language it is nearest to, so null and wrong labels do no harm.

@@ -305,6 +305,19 @@ def test_stuffed_pages(spark):
     assert stuffing.stuffed_pages(df.limit(0)).count() == 0
 
 
+def test_tags_between_sentences_that_score_well_are_stuffed(spark):
+    rng = random.Random(6)
+    nouns = [f"noun{i}" for i in range(4000)]
+    said = lambda n=3: f"The {rng.choice(nouns)} of the {' '.join(rng.sample(nouns, n))} is in a {rng.choice(nouns)} and we are with the {rng.choice(nouns)} for it."
+    dense = "It is in the and of a we are with it for the"
+    tags = lambda n: " ".join(f"#{w}" for w in rng.sample(nouns, n))
+    rows = [(i, " ".join(said() for _ in range(rng.randint(4, 30))), "en") for i in range(300)]
+    rows += [(1000 + n, "\n".join(f"{tags(25)} {dense} {rng.choice(nouns)}." for _ in range(n)), None) for n in range(2, 8)]
+    rows += [(2000 + n, "\n".join(f"{tags(12)}\n{said()} {said()}" for _ in range(n)), None) for n in range(2, 8)]
+    pages = stuffing.stuffed_pages(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert {r.doc_id for r in pages.where("stuffed").collect()} == set(range(1002, 1008))
+
+
 def test_slope_of_a_power_law(spark):
     steps = [{"f": max(1, round(1000 / r)), "c": 1} for r in range(1, 101)]
     merged = Counter()
