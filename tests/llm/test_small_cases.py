@@ -142,6 +142,23 @@ def test_large_classes_stay_linear_and_keep_their_links(spark):
     assert len(few) == 29 + 6 + 4 and (0, 29) in few and (0, 103) in few
 
 
+def test_large_classes_of_different_texts_lose_no_pair(spark):
+    words = [f"w{i}" for i in range(50)]
+    rows = [(i, None, " ".join(words[i % 50 :] + words[: i % 50]) + "!" * (i // 50)) for i in range(1100)]
+    rows += [(5000 + i, None, " ".join([*words[:-2], "x", "y"])) for i in range(4)]
+    near = neardup.NearDuplicates(spark.createDataFrame(rows, "hit_id long, title string, text string"))
+    want = 1100 * 1099 // 2 + 6 + 4400
+    for got in (near.pairs(), near.pairs(block=300), near.pairs(expand=1000)):
+        assert got.count() == got.distinct().count() == want and got.where("hit_id_a >= hit_id_b").count() == 0
+    few = {tuple(r) for r in near.pairs(expand=3).collect()}
+    assert len(few) == 1100 * 1099 // 2 + 3 + 1100 and (1099, 5000) in few and (1099, 5003) not in few
+
+
+def test_all_exact_copies_are_paired(spark):
+    near = neardup.NearDuplicates(spark.range(1003).select(F.col("id").alias("hit_id"), F.lit("t").alias("title"), F.lit("one two").alias("text")))
+    assert near.pairs().distinct().count() == 1003 * 1002 // 2
+
+
 def test_large_buckets_lose_no_pair(spark):
     sets = list(range(23))
     rows = [(i, [7, 100 + i % 2, 200 + i]) for i in sets] * 2 + [(50, [1000, 101, 8]), (51, [1001, 1002, 8]), (52, [1003, 1004, 1005]), (0, [])]
