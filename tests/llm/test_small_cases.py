@@ -159,6 +159,17 @@ def test_all_exact_copies_are_paired(spark):
     assert near.pairs().distinct().count() == 1003 * 1002 // 2
 
 
+def test_pairs_at_the_threshold_are_found(spark):
+    rng = random.Random(8)
+    vocabulary = [f"w{i}" for i in range(200_000)]
+    rows = []
+    for k in range(1500):  # 70 shared words of 100: exactly 0.7
+        held = rng.sample(vocabulary, 100)
+        rows += [(2 * k, None, " ".join(held[:85])), (2 * k + 1, None, " ".join(held[:70] + held[85:]))]
+    near = neardup.NearDuplicates(spark.createDataFrame(rows, "hit_id long, title string, text string"))
+    assert near.pairs().count() >= 0.995 * 1500
+
+
 def test_large_buckets_lose_no_pair(spark):
     sets = list(range(23))
     rows = [(i, [7, 100 + i % 2, 200 + i]) for i in sets] * 2 + [(50, [1000, 101, 8]), (51, [1001, 1002, 8]), (52, [1003, 1004, 1005]), (0, [])]
