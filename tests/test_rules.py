@@ -91,7 +91,11 @@ def test_location_parse(spark):
         "Remote": (None, None, None, "UNKNOWN", "low"), "Anywhere in the US": ("us", None, None, "US", "high"), "Remote, United States": ("us", None, None, "US", "high"),
         "Remote - North America": (None, None, None, "REGION", "medium"), "Worldwide": (None, None, None, "GLOBAL", "high"), "Bangalore, India": ("in", None, "bangalore", "NOT_REMOTE", "high"),
         "London, UK": ("gb", None, "london", "NOT_REMOTE", "high"), "Ulm, DE": ("us", "de", "ulm", "NOT_REMOTE", "medium"), "New York, NY": ("us", "ny", None, "NOT_REMOTE", "high"),
-        "Hybrid - Austin, TX": ("us", "tx", None, "NOT_REMOTE", "high"), "": (None, None, None, "NOT_REMOTE", "low"), None: (None, None, None, "NOT_REMOTE", "low"),
+        "Hybrid - Austin, TX": ("us", "tx", None, "NOT_REMOTE", "high"), "South America": (None, None, None, "NOT_REMOTE", "medium"),
+        "Remote - Central America": (None, None, None, "REGION", "medium"), "Remote Germany": ("de", None, None, "COUNTRY", "medium"), "Berlin office Germany": ("de", None, None, "NOT_REMOTE", "medium"),
+        "Deutschland": ("de", None, "deutschland", "NOT_REMOTE", "high"), "Texas, America": ("us", "tx", None, "NOT_REMOTE", "high"), "Remote, Texas": ("us", "tx", None, "US_STATES", "high"),
+        "Remote - TX, NY, USA": ("us", None, None, "US_STATES", "high"), "Springfield, OR, US": ("us", "or", "springfield", "NOT_REMOTE", "high"), "Northfield Park": (None, None, "northfield park", "NOT_REMOTE", "low"),
+         "": (None, None, None, "NOT_REMOTE", "low"), None: (None, None, None, "NOT_REMOTE", "low"),
     }
     rows = spark.createDataFrame([(k,) for k in cases], "x string").select("x", place.parse(F.col("x")).alias("p")).collect()
     assert {r.x: (r.p.country, r.p.state, r.p.city, r.p.remote_scope, r.p.confidence) for r in rows} == cases
