@@ -51,3 +51,16 @@ def lists_of(parts: list[np.ndarray], kind: pa.DataType) -> pa.ListArray:
 def small_enough(df: DataFrame, most: int) -> bool:
     """True if a table that is already materialised has at most ``most`` rows."""
     return df.limit(most + 1).count() <= most
+
+
+def join_hot(big: DataFrame, small: DataFrame, key: str, counts: DataFrame, count: str, most: int = 2000) -> DataFrame:
+    """Inner join of ``big`` and ``small`` on ``key`` with no task for a hot key.
+
+    ``counts`` holds how many rows of ``big`` each key has. Keys with at least 1 / ``most`` of all rows (so at most ``most``
+    keys) are joined with a broadcast of their rows of ``small``, the others by whatever join their sizes suggest.
+    """
+    total = counts.agg(F.coalesce(F.sum(count), F.lit(0))).scalar()
+    hot = counts.where(F.col(count) * most >= total).select(key)
+    often = small.join(F.broadcast(hot), key, "left_semi")
+    rest = big.join(F.broadcast(hot), key, "left_anti").join(small, key)
+    return big.join(F.broadcast(often), key).unionByName(rest)

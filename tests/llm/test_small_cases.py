@@ -1,5 +1,6 @@
 """Each operator on small fixtures: nulls, empty and blank values, ties, repeated rows, empty tables, clashing names."""
 
+import os
 import random
 import re
 from collections import Counter, defaultdict
@@ -9,7 +10,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from loomery.llm import canonical, components, encoding, frequency, leak, lines, neardup, splitting, stuffing
+from loomery.llm import arrow, canonical, components, encoding, frequency, leak, lines, neardup, splitting, stuffing
 
 WORD = re.compile(r"[^\W_]+")
 
@@ -42,11 +43,45 @@ def test_typed_places(spark):
     assert {r.place_id for r in none} == {0} and len(none) == len(CASES) + 2
 
 
-def test_reference_in_blocks(spark):
-    values = spark.createDataFrame([(v,) for v in CASES], "value string")
-    whole = {r.value: r.place_id for r in canonical.map_values(values, places(spark)).collect()}
-    parts = {r.value: r.place_id for r in canonical.map_values(values, places(spark), most_places=3).collect()}
-    assert {v for v in CASES if whole[v] != parts[v]} <= {"Mt. Abrask", "Mnt Dovrest"}  # common words are learned in each block
+def test_large_and_small_indexes_map_alike(spark):
+    values = spark.createDataFrame([(v,) for v in [*CASES, *[f"Quilmfield {i}" for i in range(40)]]], "value string")
+    sent = canonical.map_values(values, places(spark)).collect()
+    shuffled = canonical.map_values(values, places(spark), most_broadcast=0).collect()
+    assert sorted(map(tuple, sent)) == sorted(map(tuple, shuffled))
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.01"), reason="no test tables here")
+def test_large_and_small_indexes_map_alike_on_tables(spark):
+    listed = spark.read.parquet("/root/testdata/sf0.01/places.parquet")
+    values = spark.read.parquet("/root/testdata/sf0.01/job_locations.parquet").select(F.col("raw_location").alias("value"))
+    sent = canonical.map_values(values, listed).select("value", "place_id").collect()
+    shuffled = canonical.map_values(values, listed, most_broadcast=0).select("value", "place_id").collect()
+    assert sorted(map(tuple, sent)) == sorted(map(tuple, shuffled))
+
+
+def test_blanks_count_as_edits(spark):
+    values = ["Mount Vorsk", "MountVorsk", "Pendrix stead", "Pendrxi stead", "Pendri stade", "Vorskosa delRio"]
+    got = {r.value: r.place_id for r in canonical.map_values(spark.createDataFrame([(v,) for v in values], "value string"), places(spark)).collect()}
+    assert got == {"Mount Vorsk": 6, "MountVorsk": 6, "Pendrix stead": 7, "Pendrxi stead": 7, "Pendri stade": 0, "Vorskosa delRio": 8}
+
+
+@given(st.text("abcd", min_size=5, max_size=12), st.lists(st.tuples(st.integers(0, 2), st.integers(0, 11), st.sampled_from("abcd")), max_size=2))
+@settings(max_examples=200, deadline=None)
+def test_words_within_the_edits_share_a_deletion_key(word, changes):
+    other = word
+    for kind, at, letter in changes:
+        at %= len(other)
+        other = [other[:at] + other[at + 1 :], other[:at] + letter + other[at:], other[:at] + other[at + 1 : at + 2] + other[at : at + 1] + other[at + 2 :]][kind]
+    if canonical.edits(word, other, 2) <= canonical.allowed(max(len(word), len(other))):
+        one, two = canonical.deletion_keys([word, other])
+        assert set(one) & set(two)
+
+
+def test_join_hot_is_an_inner_join(spark):
+    big = spark.createDataFrame([(i, "hot" if i % 3 else f"k{i}") for i in range(300)], "id int, k string")
+    small = spark.createDataFrame([("hot", 1), ("hot", 2), ("k3", 3), ("none", 4)], "k string, v int")
+    got = arrow.join_hot(big, small, "k", big.groupBy("k").agg(F.count(F.lit(1)).alias("n")), "n", most=5)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, big.join(small, "k").collect()))
 
 
 @given(st.text("abcd", max_size=9), st.text("abcd", max_size=9))
