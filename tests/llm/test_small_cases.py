@@ -343,7 +343,11 @@ def test_leaks_match_brute_force(spark):
     df = spark.createDataFrame(docs, "doc_id long, text string").withColumn("question_id", F.lit("clash"))
     qs = spark.createDataFrame(items, "id string, question string, passage string")
     assert {tuple(r) for r in leak.leaked_items(df, qs).collect()} == want and len(want) > 20
-    assert {tuple(r) for r in leak.leaked_items(df, qs, block_chars=500).collect()} == want
+    assert {tuple(r) for r in leak.leaked_items(df, qs, most_bits=64).collect()} == want  # a filter that lets all through
+    many = spark.createDataFrame([(7, docs[k % 3][1] if k % 4 else " ".join(items[2][1].split() + items[1][1].split())) for k in range(400)], "doc_id long, text string")
+    got = leak.leaked_items(many, qs)
+    per = {q: sum(bool(g & grams(t)) for _, t in many.collect()) for q, g in asked.items()}
+    assert {r.question_id: r["count"] for r in got.groupBy("question_id").count().collect()} == {q: n for q, n in per.items() if n}
     assert leak.leaked_items(df.limit(0), qs).count() == 0 and leak.leaked_items(df, qs.limit(0)).count() == 0
 
 
