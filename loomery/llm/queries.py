@@ -11,7 +11,7 @@ from loomery.llm.canonical import map_rows
 from loomery.llm.encoding import encode_corpus
 from loomery.llm.frequency import mark_terms, term_counts
 from loomery.llm.leak import leaked_items
-from loomery.llm.lines import repeated_lines, without_lines
+from loomery.llm.lines import repeated_lines, without_repeated
 from loomery.llm.neardup import NearDuplicates
 from loomery.llm.splitting import split_oversized
 from loomery.llm.stuffing import stuffed_pages
@@ -38,8 +38,7 @@ def _p2_found(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _p2_clean(spark: SparkSession, folder: str) -> DataFrame:
-    hits = table(spark, folder, "hits")
-    return without_lines(hits, repeated_lines(hits))
+    return without_repeated(table(spark, folder, "hits"))
 
 
 def _p2_near(spark: SparkSession, folder: str) -> DataFrame:

@@ -122,16 +122,45 @@ def test_repeated_lines_match_brute_force(spark):
     found = lines.repeated_lines(df)
     assert {tuple(r) for r in found.collect()} == want and found.count() == len(want)
     assert {tuple(r) for r in lines.repeated_lines(df, near=True).collect()} >= want
+    for most in (0, 100):
+        assert {r.hit_id: r.text for r in lines.without_repeated(df, most_broadcast=most).collect()} == {r.hit_id: r.text for r in lines.without_lines(df, found).collect()}
     cleaned = {r.hit_id: r.text for r in lines.without_lines(df, found).collect()}
     for i, t, _ in rows:
         assert cleaned[i] == (None if t is None else "\n".join(s for n, s in enumerate(t.split("\n"), 1) if (i, n) not in want))
     assert lines.repeated_lines(df.limit(0)).count() == 0
 
 
-def test_near_lines_are_one_cluster(spark):
+def test_near_lines_are_one_group(spark):
     rows = [(i, f"this posting was written by our office in district {'abcdefghij'[i]} and checked twice by the team", "c") for i in range(10)]
     df = spark.createDataFrame(rows, "hit_id long, text string, company string")
-    assert lines.repeated_lines(df, share=0.5).count() == 0 and lines.repeated_lines(df, share=0.5, near=True).count() >= 8
+    assert lines.repeated_lines(df, share=0.5).count() == 0 and lines.repeated_lines(df, share=0.5, near=True).count() == 10
+    others = [(i, "".join(random.Random(i).choices("abcdefghijklmnop", k=30)), "c") for i in range(2, 30)]
+    twice = spark.createDataFrame([(i, "\n".join(r[1] for r in rows), "c") for i in range(2)] + others, "hit_id long, text string, company string")
+    assert lines.repeated_lines(twice, near=True).count() == 0  # 20 near-equal lines, but in two texts
+
+
+def test_planted_near_lines_are_found_and_others_are_not(spark):
+    rng = random.Random(11)
+    nouns = ["".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=rng.randint(4, 9))) for _ in range(800)]
+    notices = [" ".join(rng.sample(nouns, 40)) for _ in range(12)]
+    common = ["we are looking for", "with a background in", "to join our team of"]
+
+    def varied(notice: str) -> str:
+        held = notice.split()
+        held[rng.randrange(40)] = rng.choice(nouns)
+        return " ".join(held).capitalize() + rng.choice([".", "!", f" {rng.randint(1, 99)}"])
+
+    rows, planted = [], set()
+    for i in range(600):
+        company = rng.choice(["one", "two", "three"])
+        held = [f"{rng.choice(common)} {' '.join(rng.sample(nouns, 7))}" for _ in range(6)]
+        if rng.random() < 0.6:
+            at = rng.randrange(6)
+            held[at] = varied(notices[4 * ["one", "two", "three"].index(company) + rng.randrange(3)])
+            planted.add((i, at + 1))
+        rows.append((i, "\n".join(held), company))
+    found = {tuple(r) for r in lines.repeated_lines(spark.createDataFrame(rows, "hit_id long, text string, company string"), near=True).collect()}
+    assert len(found & planted) >= 0.9 * len(planted) and len(found & planted) >= 0.9 * len(found)
 
 
 # 3: near duplicates
