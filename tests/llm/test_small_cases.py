@@ -267,6 +267,29 @@ def test_components(spark):
     assert components.components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def test_crowded_buckets_give_the_groups_of_brute_force(spark):
+    rng = random.Random(8)
+    vocabulary = [f"w{i}" for i in range(5000)]
+    bases = [rng.sample(vocabulary, 40) for _ in range(4)]
+    rows = [(k, None, " ".join(edited(rng, rng.choice(bases), rng.choice([1, 2, 3, 5, 8])))) for k in range(300)]
+    sets = {k: frozenset(WORD.findall(t)) for k, _, t in rows}
+    at = {k: k for k in sets}
+
+    def root(k: int) -> int:
+        while at[k] != k:
+            k = at[k]
+        return k
+
+    for a in sets:
+        for b in sets:
+            if a < b and len(sets[a] & sets[b]) >= 0.7 * len(sets[a] | sets[b]):
+                at[root(a)] = root(b)
+    near = neardup.NearDuplicates(spark.createDataFrame(rows, "hit_id long, title string, text string"))
+    for crowd in (4, 32):
+        got = {r.hit_id: r.group_id for r in near.groups(crowd=crowd, block=16).collect()}
+        assert len({(got[k], root(k)) for k in sets}) == len({root(k) for k in sets}) == len(set(got.values()))
+
+
 # 4: splitting
 
 
