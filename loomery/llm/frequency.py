@@ -12,13 +12,14 @@ def fold_term(term: Column) -> Column:
 
 
 def term_counts(
-    rows: DataFrame, term: str, record: str, weight: str, same: list[str], salts: int = 32
+    rows: DataFrame, term: str, record: str, weight: str, same: list[str], salts: int | None = None
 ) -> DataFrame:
     """Occurrences, summed weight and number of records of each folded term.
 
     Rows equal in the term as delivered, the record and all columns of ``same`` count once. Rows are hashed on the
-    folded term and a salt taken from the record, so a term that holds a third of the table is spread over ``salts``
-    tasks, and all rows of one term in one record still meet. Within a task rows come ordered by term and record; a
+    folded term and one of ``salts`` salts (as many as there are shuffle partitions by default) taken from the record, or
+    from the row where the record is null, so a term that holds a third of the table is spread over that many tasks, and
+    all rows of one term in one record, and all equal rows, still meet. Within a task rows come ordered by term and record; a
     counter compares each row with the one last seen (the preceding row) and needs no set of records. The salts'
     partial counts are then summed, which is exact because no record is in two salts.
 
@@ -29,8 +30,10 @@ def term_counts(
     base = rows.select(
         fold_term(F.col(term)).alias("term"), F.col(term).alias("_raw"), F.col(record).cast("string").alias("_record"), F.col(weight).cast("long").alias("_weight"), *raw
     ).where(F.col("term") != "")
-    base = base.withColumn("_salt", F.pmod(F.xxhash64("_record"), F.lit(salts)).cast("int"))
     row = ["_raw", "_weight", *(f"_s{i}" for i in range(len(same)))]
+    salts = salts or int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    mark = F.when(F.col("_record").isNull(), F.xxhash64(*row)).otherwise(F.xxhash64("_record"))
+    base = base.withColumn("_salt", F.pmod(mark, F.lit(salts)).cast("int"))
     order = Window.partitionBy("term", "_salt").orderBy("_record", *row)
     last = lambda c: F.lag(c).over(order)
     new_record = F.col("_record").isNotNull() & ~F.col("_record").eqNullSafe(last("_record"))
