@@ -38,11 +38,12 @@ def context(hits: DataFrame, query: str = "qid", rank: str = "rank") -> DataFram
 
 
 def parse_verdict(reply: Column) -> Column:
-    """Struct of total, unsupported, worst, ran: the JSON between the first and the last brace; ran is false without it."""
+    """Struct of total, unsupported, worst, ran: the JSON between the first and the last brace (a judge's
+    worst_example counts as worst); ran is false without it."""
     body = F.regexp_extract(F.coalesce(reply, F.lit("")), r"(?s)(\{.*\})", 1)
-    parsed = F.from_json(body, "total_claims int, unsupported_claims int, worst string")
+    parsed = F.from_json(body, "total_claims int, unsupported_claims int, worst string, worst_example string")
     ran = parsed["total_claims"].isNotNull() & parsed["unsupported_claims"].isNotNull()
-    return F.struct(F.when(ran, parsed["total_claims"]).otherwise(0).alias("total"), F.when(ran, parsed["unsupported_claims"]).otherwise(0).alias("unsupported"), F.when(ran, parsed["worst"]).alias("worst"), ran.alias("ran"))
+    return F.struct(F.when(ran, parsed["total_claims"]).otherwise(0).alias("total"), F.when(ran, parsed["unsupported_claims"]).otherwise(0).alias("unsupported"), F.when(ran, F.coalesce(parsed["worst"], parsed["worst_example"])).alias("worst"), ran.alias("ran"))
 
 
 def outcome(top_sim: Column, reply: Column, verdict: Column, least_sim: float = 0.6, most: float = UNSUPPORTED) -> Column:
@@ -56,3 +57,13 @@ def outcome(top_sim: Column, reply: Column, verdict: Column, least_sim: float =
         .when(F.contains(F.coalesce(reply, F.lit("")), F.lit(REFUSAL)), "refused: model")
         .when(F.coalesce(bad, F.lit(False)), "refused: claims").otherwise("answered")
     )
+
+
+def reason(top_sim: Column, reply: Column, verdict: Column, least_sim: float = 0.6, most: float = UNSUPPORTED) -> Column:
+    """Why a question is refused, in words; null if it is answered."""
+    said = outcome(top_sim, reply, verdict, least_sim, most)
+    share = F.concat(verdict["unsupported"].cast("string"), F.lit("/"), verdict["total"].cast("string"))
+    return (
+        F.when(said == "refused: similarity", F.concat(F.lit("top similarity "), F.round(F.coalesce(top_sim, F.lit(0.0)), 3).cast("string"), F.lit(f" < {least_sim}")))
+        .when(said == "refused: model", F.lit("the model found the context insufficient")).when(said == "refused: claims", F.concat(share, F.lit(" claims unsupported")))
+    )

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from loomery.functions.text import citation_label, paragraphs, strip
+from loomery.functions.text import bind, citation_label, paragraphs, strip
 
 #: The phrases that open a section, in the order in which groups are tried; ``.?`` allows any apostrophe.
 HEADINGS = {
@@ -32,21 +32,29 @@ def section_of(heading: Column) -> Column:
     return out
 
 
-def sections(rows: DataFrame, key: str, text: str) -> DataFrame:
-    """key, ord, section, body: text before the first heading is 'other'; empty bodies are dropped; no heading, one 'other'.
+def section_array(text: Column) -> Column:
+    """Array of (ord, section, body): text before the first heading is 'other'; empty bodies are dropped; no heading, one 'other'.
 
-    Works inside each row: heading lines are found by their index, and each one's body is a slice of the lines.
+    Heading lines are found by their index, and each one's body is a slice of the lines, all inside the row.
     """
-    lines = F.split(F.coalesce(F.col(text), F.lit("")), "\n")
-    base = rows.select(F.col(key).alias("key"), lines.alias("lines"))
-    marks = F.filter(F.transform("lines", lambda line, i: F.when(line.rlike(HEADING), i)), lambda i: i.isNotNull())
-    base = base.withColumn("at", F.concat(F.array(F.lit(-1)), marks))
-    stop = F.slice("at", F.lit(2), F.greatest(F.size("at") - 1, F.lit(0)))
-    spans = F.arrays_zip(F.col("at").alias("start"), F.concat(stop, F.array(F.size("lines"))).alias("stop"))
-    body = lambda s: strip(F.array_join(F.slice("lines", s["start"] + 2, F.greatest(s["stop"] - s["start"] - 1, F.lit(0))), "\n"))
-    name = lambda s: F.when(s["start"] < 0, F.lit("other")).otherwise(section_of(F.get("lines", s["start"])))
-    made = base.withColumn("spans", spans).select("key", F.posexplode(F.transform("spans", lambda s: F.struct(name(s).alias("section"), body(s).alias("body")))).alias("ord", "s"))
-    return made.select("key", "ord", "s.section", "s.body").where("body <> ''")
+
+    def cut(lines: Column) -> Column:
+        marks = F.filter(F.transform(lines, lambda line, i: F.when(line.rlike(HEADING), i)), lambda i: i.isNotNull())
+        return bind(F.concat(F.array(F.lit(-1)), marks), lambda at: made(lines, at))
+
+    def made(lines: Column, at: Column) -> Column:
+        stop = F.concat(F.slice(at, F.lit(2), F.greatest(F.size(at) - 1, F.lit(0))), F.array(F.size(lines)))
+        body = lambda a, b: strip(F.array_join(F.slice(lines, a + 2, F.greatest(b - a - 1, F.lit(0))), "\n"))
+        name = lambda a: F.when(a < 0, F.lit("other")).otherwise(section_of(F.get(lines, a)))
+        both = F.zip_with(at, stop, lambda a, b: F.struct(name(a).alias("section"), body(a, b).alias("body")))
+        return F.filter(F.transform(both, lambda s, i: F.struct(i.alias("ord"), s["section"].alias("section"), s["body"].alias("body"))), lambda s: s["body"] != "")
+
+    return bind(F.split(F.coalesce(text, F.lit("")), "\n"), cut)
+
+
+def sections(rows: DataFrame, key: str, text: str) -> DataFrame:
+    """key, ord, section, body of each section of a text; see ``section_array``."""
+    return rows.select(F.col(key).alias("key"), F.inline(section_array(F.col(text))))
 
 
 def windows(text: Column, size: int = 1600, overlap: int = 200, delimiter: str = "\n\n") -> Column:
@@ -75,34 +83,49 @@ def windows(text: Column, size: int = 1600, overlap: int = 200, delimiter: str =
 
 
 def chunk(
-    rows: DataFrame, strategy: str, key: str = "doc_id", text: str = "text", company: str = "source", title: str = "title", carry: tuple[str, ...] = (),
+    rows: DataFrame, strategy: str, key: str = "doc_id", text: str = "text", company: str = "source", title: str = "title", location: str | None = None, carry: tuple[str, ...] = (),
     size: int = 1600, overlap: int = 200, least: int = 80, delimiter: str = "\n\n",
 ) -> DataFrame:
     """id, key, strategy, section, raw, text and the carried columns of each chunk of at least ``least`` characters.
 
-    ``fixed`` cuts the whole text, ``section`` each section. A chunk's id numbers it within its document; its text is the
-    raw piece under a heading of company, title and section. Columns are picked by name, so clashing ones do no harm.
+    ``fixed`` cuts the whole text, ``section`` each section; a text without any section piece is cut as a whole, its
+    chunks being marked as ``fixed`` ones. A chunk's id numbers it among all pieces of its document; its text is the raw
+    piece under a heading of company, title, location (in brackets, where one is given) and section. One narrow pass:
+    pieces are made and numbered inside the row. Columns are picked by name, so clashing ones do no harm.
     """
+    if strategy not in ("fixed", "section"):
+        raise ValueError(f"no such strategy: {strategy}")
+    named = lambda section, cut: F.transform(cut, lambda p: F.struct(section.alias("section"), p.alias("raw")))
+    whole = named(F.lit("unknown"), windows(F.col("_text"), size, overlap, delimiter))
+    base = rows.select(
+        F.col(key).alias("_key"), F.col(text).alias("_text"), F.col(company).alias("_company"), F.col(title).alias("_title"), (F.col(location) if location else F.lit(None)).cast("string").alias("_location"),
+        *[F.col(c).alias(f"_c_{c}") for c in carry],
+    ).where("_text IS NOT NULL")
     if strategy == "fixed":
-        parts = rows.select(F.col(key).alias("key"), F.lit(0).alias("ord"), F.lit("unknown").alias("section"), F.col(text).alias("body"))
-        parts = parts.where(F.col("body").isNotNull())
-    elif strategy == "section":
-        parts = sections(rows, key, text)
+        made = base.withColumn("_pieces", whole).withColumn("_strategy", F.lit("fixed"))
     else:
-        raise ValueError(f"no such strategy: {strategy}")
-    cut = parts.select("key", "ord", "section", F.posexplode(windows(F.col("body"), size, overlap, delimiter)).alias("piece", "raw"))
-    at = Window.partitionBy("key").orderBy("ord", "piece")
-    numbered = cut.withColumn("n", F.row_number().over(at) - 1).where(F.length("raw") >= least)
-    names = rows.select(F.col(key).alias("key"), F.col(company).alias("_company"), F.col(title).alias("_title"), *[F.col(c).alias(f"_c_{c}") for c in carry])
-    label = citation_label(F.col("_company"), F.col("_title"))
-    told = F.when(F.col("section").isin("other", "unknown"), F.lit("")).otherwise(F.concat(F.lit(" ["), F.replace("section", F.lit("_"), F.lit(" ")), F.lit("]")))
-    out = numbered.join(names, "key")
-    return out.select(
-        F.concat_ws("::", F.col("key").cast("string"), F.lit(strategy), F.col("n").cast("string")).alias("id"), F.col("key").alias(key), F.lit(strategy).alias("strategy"), "section", "raw",
-        F.concat(label, told, F.lit("\n\n"), F.col("raw")).alias("text"), *[F.col(f"_c_{c}").alias(c) for c in carry],
+        cut = F.flatten(F.transform(section_array(F.col("_text")), lambda s: named(s["section"], windows(s["body"], size, overlap, delimiter))))
+        made = base.withColumn("_cut", cut).withColumn("_strategy", F.when(F.size("_cut") > 0, "section").otherwise("fixed"))
+        made = made.withColumn("_pieces", F.when(F.size("_cut") > 0, F.col("_cut")).otherwise(whole))
+    told = [F.col(f"_c_{c}") for c in carry]
+    each = made.select("_key", "_company", "_title", "_location", "_strategy", *told, F.posexplode("_pieces").alias("_n", "_piece")).where(F.length("_piece.raw") >= least)
+    section, raw = F.col("_piece.section"), F.col("_piece.raw")
+    place = F.when(F.coalesce("_location", F.lit("")) == "", F.lit("")).otherwise(F.concat(F.lit(" ("), F.col("_location"), F.lit(")")))
+    head = F.when(section.isin("other", "unknown"), F.lit("")).otherwise(F.concat(F.lit(" ["), F.replace(section, F.lit("_"), F.lit(" ")), F.lit("]")))
+    return each.select(
+        F.concat_ws("::", F.col("_key").cast("string"), "_strategy", F.col("_n").cast("string")).alias("id"), F.col("_key").alias(key), F.col("_strategy").alias("strategy"), section.alias("section"), raw.alias("raw"),
+        F.concat(citation_label(F.col("_company"), F.col("_title")), place, head, F.lit("\n\n"), raw).alias("text"), *[c.alias(n) for c, n in zip(told, carry)],
     )
 
 
+def section_stats(chunks: DataFrame) -> DataFrame:
+    """By strategy and section: chunks and their share of the strategy's, rounded; the most frequent section first."""
+    counted = chunks.groupBy("strategy", "section").agg(F.count(F.lit(1)).alias("chunks"))
+    share = F.round(F.col("chunks") / F.sum("chunks").over(Window.partitionBy("strategy")), 4)
+    order = Window.partitionBy("strategy").orderBy(F.desc("chunks"), "section")
+    return counted.withColumn("share", share).withColumn("ord", F.row_number().over(order))
+
+
 def stats(chunks: DataFrame) -> DataFrame:
     """By strategy: chunks, mean (rounded down), least and most characters of the raw text."""
     n = F.length("raw")

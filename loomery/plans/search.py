@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from loomery.functions.text import citation_label, tokens
 from loomery.operators import retrieve
-from loomery.operators.retrieve import Bm25, Filters, fuse, hashing_vector, hydrate, nearest, only_in
+from loomery.operators.retrieve import Bm25, Filters, Index, hashing_vector, nearest, only_in
 from loomery.sources.tables import table
 
 DIM = 256
@@ -17,37 +17,63 @@ def _questions(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "questions").select(F.col("id").alias("qid"), "question")
 
 
+def _documents(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "documents").withColumn("company", F.col("source"))
+
+
+def _index(spark: SparkSession, d: str) -> Index:
+    return Index(_documents(spark, d), dim=DIM)
+
+
 def _bm25(spark: SparkSession, d: str) -> Bm25:
-    return Bm25(table(spark, d, "documents"))
+    return Bm25(_documents(spark, d))
 
 
 def _sparse(spark: SparkSession, d: str) -> DataFrame:
     return _bm25(spark, d).search(_questions(spark, d))
 
 
-def _vectors(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    return hashing_vector(table(spark, d, "documents"), "doc_id", "text", DIM), hashing_vector(_questions(spark, d), "qid", "question", DIM)
+def _dense(spark: SparkSession, d: str) -> DataFrame:
+    asked = hashing_vector(_questions(spark, d), "qid", "question", DIM)
+    return nearest(hashing_vector(_documents(spark, d), "doc_id", "text", DIM), asked, retrieve.FETCH, "doc_id")
 
 
-def _dense(spark: SparkSession, d: str) -> DataFrame:
-    vectors, asked = _vectors(spark, d)
-    return nearest(vectors, asked, retrieve.FETCH, "doc_id")
+def _both(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    index, asked = _index(spark, d), _questions(spark, d)
+    return index.dense(asked), index.sparse(asked)
 
 
 def _fused(spark: SparkSession, d: str) -> DataFrame:
-    return fuse(_dense(spark, d), _sparse(spark, d))
+    return _index(spark, d).fused(_questions(spark, d))
 
 
 def hybrid(spark: SparkSession, d: str) -> DataFrame:
-    vectors, asked = _vectors(spark, d)
-    rows = table(spark, d, "documents").select("doc_id", F.col("source").alias("company"), "title", "text")
-    return hydrate(_fused(spark, d), rows, vectors, asked)
+    return _index(spark, d).retrieve(_questions(spark, d))
 
 
 def _hybrid(spark: SparkSession, d: str) -> DataFrame:
     return hybrid(spark, d).select("qid", "doc_id", "rank", "score", "sim", citation_label(F.col("company"), F.col("title")).alias("source"))
 
 
+def _filters(spark: SparkSession, d: str) -> DataFrame:
+    found = _index(spark, d).retrieve(_questions(spark, d), Filters(country="de").column(country="lang"), mode="dense")
+    return found.select("qid", "doc_id", "rank", F.round("sim", 6).alias("sim"))
+
+
+def _longest(pairs: list[tuple[str, str]]) -> list[float]:
+    """A stand-in for a reranking model: longer texts score higher."""
+    return [float(len(text or "")) for _, text in pairs]
+
+
+def _reranked(spark: SparkSession, d: str) -> DataFrame:
+    return _index(spark, d).retrieve(_questions(spark, d), scorer=_longest).select("qid", "doc_id", "rank", "fused_rank", "rerank_score")
+
+
+def _widened(spark: SparkSession, d: str) -> DataFrame:
+    found = _index(spark, d).widened(_questions(spark, d), 0.7, k=3, first=9)
+    return found.groupBy("qid", "widened").agg(F.count(F.lit(1)).alias("n"), F.round(F.max("sim"), 6).alias("top_sim"))
+
+
 def _embedded(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     rows = table(spark, d, "embeddings")
     return rows, rows.where("vec_id % 50 = 0").select(F.col("vec_id").alias("qid"), "embedding")
@@ -60,7 +86,7 @@ def _cosine(spark: SparkSession, d: str, labels: tuple[int, ...] = ()) -> DataFr
 
 
 def _filtered_bm25(spark: SparkSession, d: str) -> DataFrame:
-    rows = table(spark, d, "documents")
+    rows = _documents(spark, d)
     keep = rows.where(Filters(companies=("jobs-speth",)).column(company="source") | (F.col("lang") == "en")).select("doc_id")
     return _bm25(spark, d).search(_questions(spark, d), 5, keep)
 
@@ -73,12 +99,13 @@ def _gate(spark: SparkSession, d: str) -> DataFrame:
 
 def _widen(spark: SparkSession, d: str) -> DataFrame:
     rows, asked = _embedded(spark, d)
-    found = retrieve.widen(rows.where("label < 5"), asked, 3, 0.95)
+    found = retrieve.widen(rows, asked, 3, 0.95)
     return found.groupBy("qid", "widened").agg(F.count(F.lit(1)).alias("n"), F.round(F.max("sim"), 6).alias("top_sim"))
 
 
 def _movement(spark: SparkSession, d: str) -> DataFrame:
-    return retrieve.movement(_dense(spark, d).where("rank <= 5"), _fused(spark, d))
+    index, asked = _index(spark, d), _questions(spark, d)
+    return retrieve.movement(index.dense(asked).where("rank <= 5"), index.fused(asked))
 
 
 _TOKENS = r"""
@@ -108,6 +135,7 @@ joined AS (SELECT qid, doc_id, d.rank AS dense_rank, s.rank AS sparse_rank, roun
 fused AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, dense_rank NULLS LAST, sparse_rank NULLS LAST) AS rank FROM joined) WHERE rank <= 20)
 """
 _FUSED = "WITH " + _TOKENS.strip() + _SPARSE[len(_TOKENS):] + _DENSE
+_WIDE = lambda k: _FUSED.replace("rank <= 20", f"rank <= {k}")
 _LABEL = "coalesce(nullif(source, ''), 'Unknown company') || ' - ' || coalesce(nullif(title, ''), 'Untitled role')"
 _COS = """
 WITH asked AS (SELECT vec_id AS qid, embedding::DOUBLE[] AS x FROM embeddings WHERE vec_id % 50 = 0),
@@ -139,17 +167,36 @@ QUERIES = {
     "dense_topk": (lambda s, d: _dense(s, d).withColumn("sim", F.round("sim", 6)), _FUSED + "SELECT qid, doc_id, round(round(sim, 9), 6) AS sim, rank::INTEGER AS rank FROM dense"),
     "rrf_fusion": (_fused, _FUSED + "SELECT qid, doc_id, dense_rank::INTEGER AS dense_rank, sparse_rank::INTEGER AS sparse_rank, score, rank::INTEGER AS rank FROM fused"),
     "rrf_dense_only": (
-        lambda s, d: only_in(_dense(s, d), _sparse(s, d)).select("qid", "doc_id", "rank"),
+        lambda s, d: only_in(*_both(s, d)).select("qid", "doc_id", "rank"),
         _FUSED + "SELECT qid, doc_id, rank::INTEGER AS rank FROM dense WHERE rank <= 5 AND NOT EXISTS (SELECT 1 FROM sparse s WHERE s.qid = dense.qid AND s.doc_id = dense.doc_id)",
     ),
     "rrf_sparse_only": (
-        lambda s, d: only_in(_sparse(s, d), _dense(s, d)).select("qid", "doc_id", "rank"),
+        lambda s, d: only_in(*_both(s, d)[::-1]).select("qid", "doc_id", "rank"),
         _FUSED + "SELECT qid, doc_id, rank::INTEGER AS rank FROM sparse WHERE rank <= 5 AND NOT EXISTS (SELECT 1 FROM dense s WHERE s.qid = sparse.qid AND s.doc_id = sparse.doc_id)",
     ),
     "hybrid_retrieve": (
         _hybrid,
         _FUSED + f"SELECT qid, doc_id, rank::INTEGER AS rank, score, round(sim, 6) AS sim, {_LABEL} AS source FROM fused JOIN sims USING (qid, doc_id) JOIN documents USING (doc_id) WHERE rank <= 5",
     ),
+    "retrieve_dense_filtered": (
+        _filters,
+        _FUSED + """SELECT qid, doc_id, rank::INTEGER AS rank, round(round(sim, 9), 6) AS sim FROM (SELECT qid, doc_id, sim, row_number() OVER (PARTITION BY qid ORDER BY round(sim, 9) DESC, doc_id) AS rank
+        FROM sims JOIN documents USING (doc_id) WHERE lower(lang) = 'de') WHERE rank <= 5""",
+    ),
+    "retrieve_reranked": (
+        _reranked,
+        _WIDE(40) + """SELECT qid, doc_id, row_number() OVER (PARTITION BY qid ORDER BY length(coalesce(text, '')) DESC, rank)::INTEGER AS rank, rank::INTEGER AS fused_rank, length(coalesce(text, ''))::DOUBLE AS rerank_score
+        FROM fused JOIN documents USING (doc_id) QUALIFY row_number() OVER (PARTITION BY qid ORDER BY length(coalesce(text, '')) DESC, rank) <= 5""",
+    ),
+    "retrieve_widened": (
+        _widened,
+        _WIDE(9).replace("fused AS", "wide AS").rstrip() + """, narrow AS (SELECT qid, doc_id, row_number() OVER (PARTITION BY qid ORDER BY score DESC, dense_rank NULLS LAST, sparse_rank NULLS LAST) AS rank FROM (
+          SELECT qid, doc_id, d.rank AS dense_rank, s.rank AS sparse_rank, round(coalesce(1 / (60 + d.rank), 0) + coalesce(1 / (60 + s.rank), 0), 9) AS score
+          FROM (FROM dense WHERE rank <= 3) d FULL JOIN (FROM sparse WHERE rank <= 3) s USING (qid, doc_id)) QUALIFY rank <= 3),
+        first AS (SELECT qid, round(sim, 6) AS sim FROM narrow JOIN sims USING (qid, doc_id)), sure AS (SELECT qid FROM first GROUP BY qid HAVING max(sim) >= 0.7),
+        again AS (SELECT qid, round(sim, 6) AS sim FROM wide JOIN sims USING (qid, doc_id) WHERE qid NOT IN (FROM sure))
+        SELECT qid, widened, count(*)::BIGINT AS n, round(max(sim), 6) AS top_sim FROM (SELECT qid, sim, FALSE AS widened FROM first WHERE qid IN (FROM sure) UNION ALL SELECT qid, sim, TRUE FROM again) GROUP BY ALL""",
+    ),
     "explain_hits": (
         lambda s, d: retrieve.explain(hybrid(s, d)),
         _FUSED + f"""SELECT qid, doc_id, rank::INTEGER AS rank, score AS fused, round(sim, 6) AS sim, coalesce(dense_rank::VARCHAR, '-') AS dense, coalesce(sparse_rank::VARCHAR, '-') AS bm25, {_LABEL} AS source
@@ -161,7 +208,7 @@ QUERIES = {
     ),
     "widen_retry": (
         _widen,
-        _COS + f""", first AS ({_TOPN(3, 'label < 5')}), unsure AS (SELECT qid FROM first GROUP BY qid HAVING max(sim) < 0.95), again AS ({_TOPN(9, 'label < 5')})
+        _COS + f""", first AS ({_TOPN(3)}), unsure AS (SELECT qid FROM first GROUP BY qid HAVING max(sim) < 0.95), again AS ({_TOPN(9)})
         SELECT qid, widened, count(*)::BIGINT AS n, round(max(sim), 6) AS top_sim FROM (SELECT qid, sim, FALSE AS widened FROM first WHERE qid NOT IN (SELECT qid FROM unsure) UNION ALL SELECT qid, sim, TRUE FROM again WHERE qid IN (SELECT qid FROM unsure)) GROUP BY ALL""",
     ),
     "rerank_movement": (

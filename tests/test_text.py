@@ -95,3 +95,26 @@ def test_boilerplate(spark):
 def test_unescape_matches_python(spark):
     raw = "&lt;b&gt; &eacute; &#8212; &amp;quot;"
     assert one(spark, html_to_text, raw) == [re.sub(r"<[^>]+>", " ", html.unescape(raw)).strip().replace("&quot;", '"')]
+
+
+def test_headings_alone_are_cut_as_a_whole_and_locations_are_told(spark):
+    rows = spark.createDataFrame([(1, "Requirements:\nBenefits:\n", "Acme", "Engineer", "Ulm"), (2, "Requirements:\nknow it", "Acme", None, ""), (3, None, "x", "y", None)], "doc_id int, text string, source string, title string, place string")
+    made = sorted((r.id, r.strategy, r.text) for r in chunk.chunk(rows, "section", location="place", least=1).collect())
+    assert made == [("1::fixed::0", "fixed", "Acme - Engineer (Ulm)\n\nRequirements:\nBenefits:\n"), ("2::section::0", "section", "Acme - Untitled role [requirements]\n\nknow it")]
+
+
+def test_chunking_does_not_shuffle(spark):
+    rows = spark.createDataFrame([(1, "Requirements:\nknow it", "Acme", "t")], "doc_id int, text string, source string, title string")
+    for strategy in ("fixed", "section"):
+        assert "Exchange" not in chunk.chunk(rows, strategy)._jdf.queryExecution().executedPlan().toString()
+    made = chunk.chunk(rows, "section", least=1)
+    assert [tuple(r) for r in chunk.section_stats(made).collect()] == [("section", "requirements", 1, 1.0, 1)]
+
+
+def test_long_drop_lists_strip_alike(spark):
+    block = "We are an equal employer and we welcome all people."
+    rows = spark.createDataFrame([(i, f"own words {i}\n{block}\nshort", c) for i, c in enumerate(["a", "a", "a", "b", None, None, None, ""])] + [(9, None, "a")], "hit_id int, text string, company string")
+    short, long = Boilerplate(), Boilerplate(most_broadcast=0)
+    assert sorted(map(tuple, short.stripped(rows).collect())) == sorted(map(tuple, long.stripped(rows).collect()))
+    assert short.stripped(rows).where(F.contains("text", F.lit(block))).count() == 0
+    assert [r.companies for r in short.most_shared(rows).collect()] == [3] and {r.sample for r in short.most_repeated(rows).collect()} == {block}
