@@ -64,6 +64,6 @@ def reason(top_sim: Column, reply: Column, verdict: Column, least_sim: float = 0
     said = outcome(top_sim, reply, verdict, least_sim, most)
     share = F.concat(verdict["unsupported"].cast("string"), F.lit("/"), verdict["total"].cast("string"))
     return (
-        F.when(said == "refused: similarity", F.concat(F.lit("top similarity "), F.round(F.coalesce(top_sim, F.lit(0.0)), 3).cast("string"), F.lit(f" < {least_sim}")))
+        F.when(said == "refused: similarity", F.concat(F.lit("top similarity "), F.round(F.coalesce(top_sim, F.lit(0.0)), 4).cast("string"), F.lit(f" < {least_sim}")))
         .when(said == "refused: model", F.lit("the model found the context insufficient")).when(said == "refused: claims", F.concat(share, F.lit(" claims unsupported")))
     )

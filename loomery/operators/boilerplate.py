@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomery.functions.text import fingerprint, or_default, paragraphs
+from loomery.functions.text import bind, fingerprint, or_default, paragraphs
 from loomery.session import small_enough, spread, stash
 
 
@@ -79,10 +79,9 @@ class Boilerplate:
             lists = own.groupBy("company").agg(F.collect_set("fp").alias("own"))
             every = shared.agg(F.collect_set("fp").alias("shared"))
             held = documents.join(F.broadcast(lists), "company", "left").crossJoin(F.broadcast(every))
-            prints = F.transform("paragraphs", self.print_of)
-            gone = F.array_intersect("prints", F.concat(F.coalesce("own", F.array().cast("array<string>")), "shared"))
-            held = held.withColumn("prints", prints).withColumn("gone", gone)
-            flags = F.transform("prints", lambda p: F.coalesce(F.array_contains("gone", p), F.lit(False)))
+            drop = F.concat(F.coalesce("own", F.array().cast("array<string>")), "shared")
+            flag = lambda prints: bind(F.array_intersect(prints, drop), lambda gone: F.transform(prints, lambda p: F.coalesce(F.array_contains(gone, p), F.lit(False))))
+            flags = bind(F.transform("paragraphs", self.print_of), flag)
         else:
             numbered = stash(documents.withColumn("row", F.monotonically_increasing_id()))
             placed = numbered.select("row", "company", F.posexplode(F.transform("paragraphs", self.print_of)).alias("pos", "fp")).where("fp IS NOT NULL")

@@ -31,3 +31,10 @@ def snapshot_delta(before: DataFrame, after: DataFrame, key: str, columns: list[
     a, b = before.select(F.col(key), mark.alias("a")), after.select(F.col(key), mark.alias("b"))
     state = F.when(F.col("a").isNull(), "new").when(F.col("b").isNull(), "closed").when(F.col("a") != F.col("b"), "changed").otherwise("same")
     return a.join(b, key, "full_outer").select(key, state.alias("state"))
+
+
+def top_counts(rows: DataFrame, column: str, first: int = 6) -> DataFrame:
+    """column, n, ord: the most frequent values, nulls and empty ones as 'unknown', ties by name."""
+    counted = rows.groupBy(or_default(F.col(column), "unknown").alias(column)).agg(F.count(F.lit(1)).alias("n"))
+    best = counted.orderBy(F.desc("n"), column).limit(first)
+    return best.withColumn("ord", F.row_number().over(Window.orderBy(F.desc("n"), column)))  # of ``first`` rows

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from loomery.functions.text import bind
+from loomery.functions.text import NOT_NAMED, bind
 
 #: A small default taxonomy; a full one is passed as a parameter of the same shape.
 TAXONOMY: dict[str, list[str]] = {
@@ -19,7 +19,7 @@ TAXONOMY: dict[str, list[str]] = {
 
 def normalized(text: Column) -> Column:
     """Lower case, letters, digits and ``+#.`` kept, everything else one blank."""
-    return F.trim(F.regexp_replace(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), "[^a-z0-9+#. ]", " "), " +", " "))
+    return F.trim(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), f"{NOT_NAMED}+", " "))
 
 
 def terms_in(text: Column, taxonomy: dict[str, list[str]] = TAXONOMY) -> Column:
@@ -42,7 +42,7 @@ def emphasis(term: Column, plain: Column) -> Column:
 
 
 def fit(pairs: DataFrame, resume: str = "resume", job: str = "job", gaps: int = 8, taxonomy: dict[str, list[str]] = TAXONOMY) -> DataFrame:
-    """``pairs`` with matched, gaps (by weight, then term), fit_percent, core_cut, core_met, core_missing, confidence.
+    """``pairs`` with matched, gaps (by weight, then term), fit_percent, core_cut, core_met, core_missing, confidence, n_terms.
 
     A term's weight is its emphasis in the job. The fit is the matched share of all weight, rounded half to even; core
     terms weigh at least half of the heaviest, never under 2. A job without terms fits 0 with low confidence.
@@ -64,26 +64,56 @@ def fit(pairs: DataFrame, resume: str = "resume", job: str = "job", gaps: int =
     n = F.size("_want")
     return out.select(
         *pairs.columns, "fit_percent", names("_met").alias("matched"), F.slice(names("_missing"), 1, gaps).alias("gaps"), "core_cut", core("_met").alias("core_met"), core("_missing").alias("core_missing"),
-        F.when(n >= 12, "high").when(n >= 6, "medium").otherwise("low").alias("confidence"),
+        F.when(n >= 12, "high").when(n >= 6, "medium").otherwise("low").alias("confidence"), n.alias("n_terms"),
     )
 
 
-def term_groups(spark, taxonomy: dict[str, list[str]] = TAXONOMY) -> DataFrame:
-    """term, group, group_ord; a term listed twice belongs to the group listed last."""
-    last = {t.lower(): (g, i) for i, (g, ts) in enumerate(taxonomy.items()) for t in ts}
-    return spark.createDataFrame([(t, g, i) for t, (g, i) in last.items()], "term string, grp string, grp_ord int")
+def competencies(fitted: DataFrame, key: str, job: str = "job", taxonomy: dict[str, list[str]] = TAXONOMY) -> DataFrame:
+    """key, grp, matched, missing (by weight, then term), weight, total, percent (of its terms that are matched), ord: one
+    row for each group of the taxonomy that a job mentions, the one it says most about first, ties in the taxonomy's order.
 
+    A job's terms are grouped inside its row, so nothing is shuffled.
+    """
+    last = {t.lower(): g for g, ts in taxonomy.items() for t in ts}
+    group_of = F.create_map(*[F.lit(x) for item in last.items() for x in item])
+    weigh = lambda plain: F.transform(terms_in(F.col(job), taxonomy), lambda t: F.struct((-emphasis(t, plain)).alias("w"), t.alias("t")))
+    names = lambda c: F.transform(c, lambda x: x["t"])
+    row = fitted.select(F.col(key), F.col("matched").alias("_met"), F.array_sort(bind(normalized(F.col(job)), weigh)).alias("_all"))
 
-def competencies(fitted: DataFrame, key: str, job: str = "job", taxonomy: dict[str, list[str]] = TAXONOMY) -> DataFrame:
-    """key, grp, matched, missing (sorted), weight: one row for each group of the taxonomy that a job mentions."""
-    groups = term_groups(fitted.sparkSession, taxonomy)
-    each = fitted.select(F.col(key), normalized(F.col(job)).alias("_job"), F.col("matched").alias("_matched"), F.explode(terms_in(F.col(job), taxonomy)).alias("term"))
-    held = each.withColumn("met", F.array_contains("_matched", F.col("term"))).withColumn("w", emphasis(F.col("term"), F.col("_job"))).join(F.broadcast(groups), "term")
-    return held.groupBy(key, "grp").agg(F.array_sort(F.collect_set(F.when(F.col("met"), F.col("term")))).alias("matched"), F.array_sort(F.collect_set(F.when(~F.col("met"), F.col("term")))).alias("missing"), F.sum("w").alias("weight"))
+    def made(group: str, number: int) -> Column:
+        held = F.filter("_all", lambda x: F.try_element_at(group_of, x["t"]) == group)
+        split = lambda held: F.struct(
+            (F.aggregate(held, F.lit(0), lambda a, x: a + x["w"])).alias("w"), F.lit(number).alias("o"), F.lit(group).alias("grp"),
+            names(F.filter(held, lambda x: F.array_contains("_met", x["t"]))).alias("matched"), names(F.filter(held, lambda x: ~F.array_contains("_met", x["t"]))).alias("missing"),
+        )
+        return bind(held, split)
 
+    groups = F.array_sort(F.filter(F.array(*[made(g, i) for i, g in enumerate(taxonomy)]), lambda g: g["w"] < 0))
+    each = row.select(key, F.posexplode(groups).alias("ord", "g")).select(key, "g.grp", "g.matched", "g.missing", (-F.col("g.w")).alias("weight"), (F.size("g.matched") + F.size("g.missing")).alias("total"), (F.col("ord") + 1).alias("ord"))
+    return each.withColumn("percent", F.bround(100 * F.size("matched") / F.col("total")).cast("int"))
 
-def signals(reports: DataFrame, least_share: float = 0.15, first: int = 8) -> DataFrame:
-    """kind, term, postings, total, core_in, share of each report's strongest signals, ranked; weak shares are left out."""
+
+def market(fitted: DataFrame, least_share: float = 0.15, first: int = 8) -> DataFrame:
+    """kind (gap or strength), ord, term, postings, core_in, total, share, low: what many fitted jobs ask for and lack.
+
+    Of all fits with any term (``total``), ``postings`` have the term among their gaps, or matched terms, and ``core_in``
+    of these among their core terms; ``low`` fits had little to go by. Shares under ``least_share`` are left out, the
+    ``first`` of each kind are kept by postings, then core, then term. Gaps are those that the fits list, at most as many
+    as ``fit`` was asked for. Terms are counted in their task before they are shuffled.
+    """
+    held = lambda kind, terms, core: F.transform(F.array_distinct(terms), lambda t: F.struct(F.lit(kind).alias("kind"), t.alias("term"), F.array_contains(core, t).alias("core")))
+    real = fitted.where("n_terms > 0")
+    each = real.select(F.inline(F.concat(held("gap", F.col("gaps"), F.col("core_missing")), held("strength", F.col("matched"), F.col("core_met")))))
+    totals = real.agg(F.count(F.lit(1)).alias("total"), F.count_if(F.col("confidence") == "low").alias("low"))
+    counted = each.groupBy("kind", "term").agg(F.count(F.lit(1)).alias("postings"), F.count_if("core").alias("core_in")).crossJoin(F.broadcast(totals))  # one row
+    share = F.col("postings") / F.col("total")
+    order = Window.partitionBy("kind").orderBy(F.desc("postings"), F.desc("core_in"), "term")
+    ranked = counted.where(share >= least_share).withColumn("share", F.round(share, 6)).withColumn("ord", F.row_number().over(order))
+    return ranked.where(F.col("ord") <= first).select("kind", "ord", "term", "postings", "core_in", "total", "share", "low")
+
+
+def signals(reports: DataFrame, least_share: float = 0.15) -> DataFrame:
+    """The rows of ready-made reports whose share of postings is not weak, with that share."""
     share = F.round(F.col("postings") / F.col("total"), 6)
     return reports.where((F.col("total") > 0) & (F.col("postings") / F.col("total") >= least_share)).withColumn("share", share)
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from loomery.functions.text import clean_lines, fingerprint, html_to_text, paragraphs
 from loomery.operators import chunk
 from loomery.operators.boilerplate import Boilerplate
-from loomery.operators.sample import first_of_each, round_robin, snapshot_delta
+from loomery.operators.sample import first_of_each, round_robin, snapshot_delta, top_counts
 from loomery.sources.tables import table
 
 RULES = Boilerplate()
@@ -51,9 +51,12 @@ def _section_split(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _delta(spark: SparkSession, d: str) -> DataFrame:
-    rows = table(spark, d, "documents").select("doc_id", "text", "source")
-    before, after = rows.where("doc_id % 7 <> 0"), rows.where("doc_id % 11 <> 0").withColumn("text", F.when(F.col("doc_id") % 5 == 0, F.concat("text", F.lit("!"))).otherwise(F.col("text")))
-    return snapshot_delta(before, after, "doc_id", ["text", "source"])
+    """Each advertisement as last crawled in the first half of the crawl's days, against the second half."""
+    rows = table(spark, d, "documents").withColumn("day", F.to_date("crawled_at"))
+    middle = rows.agg(F.date_add(F.min("day"), F.floor(F.datediff(F.max("day"), F.min("day")) / 2).cast("int"))).scalar()
+    late = F.coalesce(F.col("day") >= middle, F.lit(False))
+    last = lambda part: part.groupBy("ad_id").agg(F.max_by(F.struct("text", "source"), F.struct("crawled_at", "doc_id")).alias("s")).select("ad_id", "s.text", "s.source")
+    return snapshot_delta(last(rows.where(~late)), last(rows.where(late)), "ad_id", ["text", "source"])
 
 
 B = r"[\s\x0B\p{Z}]"
@@ -88,15 +91,60 @@ def _heading_sql() -> str:
     islands AS (SELECT *, sum(heading::INT) OVER (PARTITION BY doc_id ORDER BY no) AS island FROM marked),
     named AS (SELECT doc_id, island, coalesce(max(CASE WHEN heading THEN CASE {case} ELSE 'other' END END), 'other') AS section,
       coalesce(string_agg(line, chr(10) ORDER BY no) FILTER (NOT heading), '') AS body FROM islands GROUP BY doc_id, island),
-    stripped AS (SELECT doc_id, section, {_STRIP('body')} AS body FROM named)
-    SELECT doc_id, section, count(*)::BIGINT AS bodies, sum(length(body))::BIGINT AS chars FROM stripped WHERE body <> '' GROUP BY doc_id, section"""
+    stripped AS (SELECT doc_id, island, section, {_STRIP('body')} AS body FROM named)"""
+
+
+_SPLIT = " SELECT doc_id, section, count(*)::BIGINT AS bodies, sum(length(body))::BIGINT AS chars FROM stripped WHERE body <> '' GROUP BY doc_id, section"
+_PLAIN = lambda x: f"replace(replace(replace({x}, '&#39;', chr(39)), '&nbsp;', chr(160)), '&amp;', '&')"
+
+
+def _chunk_sql(size: int = 1600, overlap: int = 200, least: int = 80) -> str:
+    """Tables fixed_chunks, section_chunks and both_chunks: windows packed by recursion over each body's paragraphs."""
+    step, parts = size - overlap, _PARTS("body").replace("chr(10))", "chr(10) || chr(10))")
+    fits = f"(cur = '' OR length(cur) + length(p) + 2 <= {size})"
+    head = "coalesce(nullif(source, ''), 'Unknown company') || ' - ' || coalesce(nullif(title, ''), 'Untitled role')"
+
+    def made(name: str, origin: str) -> str:
+        return f"""
+    {name}_fold AS (
+      SELECT doc_id, ord, section, body, {parts} AS ps, 0 AS i, []::VARCHAR[] AS out, '' AS cur FROM {origin}
+      UNION ALL
+      SELECT doc_id, ord, section, body, ps, i + 1, list_concat(kept, list_transform(range(cuts), lambda k: substr(grown, 1 + k * {step}, {size}))), substr(grown, 1 + cuts * {step}) FROM (
+        SELECT *, greatest(ceil((length(grown) - {size}) / {step}), 0)::BIGINT AS cuts FROM (
+          SELECT *, CASE WHEN {fits} THEN out ELSE list_append(out, cur) END AS kept, CASE WHEN cur = '' THEN p WHEN {fits} THEN cur || chr(10) || chr(10) || p ELSE right(cur, {overlap}) || chr(10) || chr(10) || p END AS grown
+          FROM (SELECT *, ps[i + 1] AS p FROM {name}_fold WHERE i < len(ps))))),
+    {name}_cut AS (SELECT doc_id, ord, section, list_filter(CASE WHEN length(body) <= {size} THEN [body] ELSE list_append(out, cur) END, lambda x: regexp_matches(x, '[^\\s\\x0B\\p{{Z}}]')) AS pieces FROM {name}_fold WHERE i = len(ps)),
+    {name}_each AS (SELECT doc_id, ord, section, unnest(range(len(pieces))) AS j, unnest(pieces) AS raw FROM {name}_cut),
+    {name}_placed AS (SELECT doc_id, section, raw, row_number() OVER (PARTITION BY doc_id ORDER BY ord, j) - 1 AS n FROM {name}_each)"""
+
+    def told(name: str, origin: str) -> str:
+        return f"""SELECT doc_id || '::{name}::' || n AS id, doc_id, '{name}' AS strategy, section, raw,
+      {head} || CASE WHEN section IN ('other', 'unknown') THEN '' ELSE ' [' || replace(section, '_', ' ') || ']' END || chr(10) || chr(10) || raw AS text, lang, url FROM {origin} JOIN documents USING (doc_id) WHERE length(raw) >= {least}"""
+
+    sections = _heading_sql().strip().removeprefix("WITH")
+    return f"""WITH RECURSIVE {sections}, bodies AS (SELECT doc_id, island AS ord, section, body FROM stripped JOIN documents USING (doc_id) WHERE body <> '' AND text IS NOT NULL),
+    wholes AS (SELECT doc_id, 0 AS ord, 'unknown' AS section, text AS body FROM documents WHERE text IS NOT NULL), {made("fixed", "wholes")}, {made("section", "bodies")},
+    fixed_chunks AS ({told("fixed", "fixed_placed")}),
+    section_chunks AS ({told("section", "section_placed")} UNION ALL {told("fixed", "(FROM fixed_placed WHERE doc_id NOT IN (SELECT doc_id FROM section_placed)) x")}),
+    both_chunks AS (FROM fixed_chunks UNION ALL FROM section_chunks)"""
+
+
+_STATS = ", stats AS (SELECT strategy, count(*) AS chunks, floor(sum(length(raw)) / count(*)) AS mean_chars, min(length(raw)) AS min_chars, max(length(raw)) AS max_chars FROM both_chunks GROUP BY strategy)"
 
 
 QUERIES = {
     "paragraph_split": (_paragraph_split, _PARAGRAPHS + "SELECT * FROM paragraphs"),
     "paragraph_fingerprint": (_paragraph_fingerprint, _PARAGRAPHS + f"SELECT doc_id, pos, {_FP('paragraph')} AS fp FROM paragraphs WHERE length(paragraph) >= 40"),
     "min_body_filter": (_min_body_filter, "SELECT doc_id, length(text)::BIGINT AS chars FROM documents WHERE length(text) >= 200"),
-    "html_to_text": (_html_to_text, None),
+    # the only entities of these tables are &amp;, &#39; and &nbsp;
+    "html_to_text": (
+        _html_to_text,
+        f"""WITH a AS (SELECT doc_id, {_PLAIN("coalesce(text, '')")} AS t FROM documents),
+        b AS (SELECT doc_id, regexp_replace(regexp_replace(t, '(?i)<\\s*(?:br|/(?:p|div|li|h[1-6]|tr))\\s*/?>', chr(10), 'g'), '(?i)<\\s*li[^>]*>', chr(10) || '- ', 'g') AS t FROM a),
+        c AS (SELECT doc_id, regexp_replace({_PLAIN("regexp_replace(t, '<[^>]+>', ' ', 'g')")}, '[ \\t\\x{{a0}}]+', ' ', 'g') AS t FROM b),
+        d AS (SELECT doc_id, array_to_string(list_transform(string_split(t, chr(10)), lambda x: {_STRIP('x')}), chr(10)) AS t FROM c)
+        SELECT doc_id, {_STRIP("regexp_replace(t, '\\n{3,}', chr(10) || chr(10), 'g')")} AS plain FROM d""",
+    ),
     "clean_lines": (
         _clean_lines,
         f"""WITH a AS (SELECT doc_id, regexp_replace(regexp_replace(coalesce(text, ''), '\\r\\n?', chr(10), 'g'), '[ \\t\\x{{a0}}]+', ' ', 'g') AS t FROM documents),
@@ -116,11 +164,31 @@ QUERIES = {
         _BOILER + """, top AS (SELECT *, round(n / n_docs, 6) AS share FROM own ORDER BY share DESC, n DESC, company, fp LIMIT 6)
         SELECT company, fp, n::BIGINT AS n, n_docs::BIGINT AS n_docs, share::DOUBLE AS share, (SELECT arg_min(paragraph, hit_id * 1000000 + pos) FROM printed p WHERE p.company = top.company AND p.fp = top.fp) AS sample FROM top""",
     ),
-    "section_split": (_section_split, _heading_sql()),
-    "chunk_fixed": (lambda s, d: _chunks(s, d, "fixed"), None),
-    "chunk_section": (lambda s, d: _chunks(s, d, "section"), None),
-    "chunk_stats": (lambda s, d: chunk.stats(_both(s, d)), None),
-    "strategy_compare": (lambda s, d: chunk.compare(_both(s, d)), None),
+    "boilerplate_most_shared": (
+        lambda s, d: RULES.most_shared(_hits(s, d)),
+        _BOILER + """, top AS (SELECT fp, companies FROM shared ORDER BY companies DESC, fp LIMIT 3)
+        SELECT fp, companies::BIGINT AS companies, (SELECT arg_min(paragraph, hit_id * 1000000 + pos) FROM printed p WHERE p.fp = top.fp) AS sample FROM top""",
+    ),
+    "boilerplate_most_repeated": (
+        lambda s, d: RULES.most_repeated(_hits(s, d)),
+        _BOILER + """, top AS (SELECT * FROM own ORDER BY n DESC, company, fp LIMIT 5)
+        SELECT company, fp, n::BIGINT AS n, n_docs::BIGINT AS n_docs, (SELECT arg_min(paragraph, hit_id * 1000000 + pos) FROM printed p WHERE p.company = top.company AND p.fp = top.fp) AS sample FROM top""",
+    ),
+    "section_split": (_section_split, _heading_sql() + _SPLIT),
+    "chunk_fixed": (lambda s, d: _chunks(s, d, "fixed"), _chunk_sql() + " SELECT * FROM fixed_chunks"),
+    "chunk_section": (lambda s, d: _chunks(s, d, "section"), _chunk_sql() + " SELECT * FROM section_chunks"),
+    "chunk_stats": (lambda s, d: chunk.stats(_both(s, d)), _chunk_sql() + _STATS + " SELECT strategy, chunks::BIGINT AS chunks, mean_chars::BIGINT AS mean_chars, min_chars::INTEGER AS min_chars, max_chars::INTEGER AS max_chars FROM stats"),
+    "chunk_sections_counted": (
+        lambda s, d: chunk.section_stats(_both(s, d)),
+        _chunk_sql() + """, n AS (SELECT strategy, section, count(*) AS chunks FROM both_chunks GROUP BY ALL)
+        SELECT strategy, section, chunks::BIGINT AS chunks, round(chunks / sum(chunks) OVER (PARTITION BY strategy), 4) AS share, row_number() OVER (PARTITION BY strategy ORDER BY chunks DESC, section)::INTEGER AS ord FROM n""",
+    ),
+    "strategy_compare": (
+        lambda s, d: chunk.compare(_both(s, d)),
+        _chunk_sql() + _STATS + """, f AS (FROM stats WHERE strategy = 'fixed'), s AS (FROM stats WHERE strategy = 'section')
+        SELECT s.chunks::BIGINT AS section_chunks, s.mean_chars::BIGINT AS section_mean, f.chunks::BIGINT AS fixed_chunks, f.mean_chars::BIGINT AS fixed_mean,
+        round(s.chunks / greatest(f.chunks, 1), 4) AS count_ratio, round(s.mean_chars / greatest(f.mean_chars, 1), 4) AS size_ratio FROM f, s""",
+    ),
     "per_source_cap": (
         lambda s, d: first_of_each(table(s, d, "documents").select("doc_id", "source"), 10, "source", "doc_id"),
         "SELECT doc_id, source, slot::INTEGER AS slot FROM (SELECT doc_id, source, row_number() OVER (PARTITION BY coalesce(nullif(source, ''), 'unknown') ORDER BY doc_id) AS slot FROM documents) WHERE slot <= 10",
@@ -135,11 +203,16 @@ QUERIES = {
         lambda s, d: _hits(s, d).groupBy(F.coalesce(F.nullif("section", F.lit("")), F.lit("unknown")).alias("section")).agg(F.count(F.lit(1)).alias("n")),
         "SELECT coalesce(nullif(section, ''), 'unknown') AS section, count(*)::BIGINT AS n FROM hits GROUP BY 1",
     ),
+    "top_categories": (
+        lambda s, d: top_counts(table(s, d, "job_locations"), "work_mode"),
+        "SELECT *, row_number() OVER (ORDER BY n DESC, work_mode)::INTEGER AS ord FROM (SELECT coalesce(nullif(work_mode, ''), 'unknown') AS work_mode, count(*)::BIGINT AS n FROM job_locations GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 6)",
+    ),
     "snapshot_delta": (
         _delta,
-        """WITH a AS (SELECT doc_id, text, source FROM documents WHERE doc_id % 7 <> 0),
-        b AS (SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN text || '!' ELSE text END AS text, source FROM documents WHERE doc_id % 11 <> 0)
-        SELECT doc_id, CASE WHEN a.doc_id IS NULL THEN 'new' WHEN b.doc_id IS NULL THEN 'closed' WHEN a.text IS DISTINCT FROM b.text OR a.source IS DISTINCT FROM b.source THEN 'changed' ELSE 'same' END AS state
-        FROM a FULL JOIN b USING (doc_id)""",
+        """WITH rows AS (SELECT *, coalesce(crawled_at::DATE >= (SELECT min(crawled_at::DATE) + (max(crawled_at::DATE) - min(crawled_at::DATE))::INTEGER // 2 FROM documents), FALSE) AS late FROM documents),
+        a AS (SELECT ad_id, text, source FROM rows WHERE NOT late QUALIFY row_number() OVER (PARTITION BY ad_id ORDER BY crawled_at DESC NULLS LAST, doc_id DESC) = 1),
+        b AS (SELECT ad_id, text, source FROM rows WHERE late QUALIFY row_number() OVER (PARTITION BY ad_id ORDER BY crawled_at DESC NULLS LAST, doc_id DESC) = 1)
+        SELECT ad_id, CASE WHEN a.ad_id IS NULL THEN 'new' WHEN b.ad_id IS NULL THEN 'closed' WHEN a.text IS DISTINCT FROM b.text OR a.source IS DISTINCT FROM b.source THEN 'changed' ELSE 'same' END AS state
+        FROM a FULL JOIN b USING (ad_id)""",
     ),
 }

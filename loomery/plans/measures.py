@@ -8,37 +8,39 @@ from pyspark.sql import functions as F
 from loomery.operators import answer, evaluate
 from loomery.sources.tables import table
 
-#: Model replies with what they were asked about: id, similarity, hits, reply, judge's reply.
-REPLIES = [
-    (1, 0.72, 3, "x [2] y [1] z [2] w [9]", 'Sure: {"total_claims": 3, "unsupported_claims": 1, "worst": "w"}'),
-    (2, 0.59, 3, "never shown [1]", '{"total_claims": 1, "unsupported_claims": 0, "worst": ""}'),
-    (3, 0.81, 5, "INSUFFICIENT_CONTEXT", None),
-    (4, 0.66, 5, "a [1] b [5] c [6] d [0]", '{"total_claims": 7, "unsupported_claims": 4, "worst": "b"}'),
-    (5, 0.90, 2, "grouped [1, 2]", "no json here"),
-    (6, 0.60, 0, None, '{"total_claims": 0, "unsupported_claims": 0, "worst": ""}'),
-    (7, None, 4, "[4][3][4]", '{"total_claims": 100, "unsupported_claims": 35, "worst": "much"}'),
-]
-#: Judged answers: should_refuse, refused, claims, unsupported, citations, bad_citations, widened, prompt_tokens.
-ANSWERS = [
-    (False, False, 5, 0, 2, 0, False, 1400), (False, False, 7, 1, 3, 0, True, 1501), (False, True, None, None, 0, 0, False, 0), (True, True, None, None, 0, 0, True, 0),
-    (True, False, 2, 2, 1, 1, False, 1200), (False, False, None, None, 1, 0, False, 1300),
-]
-
-
-def _replies(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(REPLIES, "id int, top_sim double, hits int, reply string, judged string")
+def _replies(spark: SparkSession, d: str) -> DataFrame:
+    """A reply and a judge's words for each delivered hit, made from its own columns: id, top_sim, hits, reply, judged."""
+    told = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("0"))
+    reply = F.concat(
+        F.coalesce("text", F.lit("")), F.lit(" ["), told("dense_rank"), F.lit("] and ["), told("sparse_rank"), F.lit("], see ["), told("dense_rank"), F.lit("][1, 2]"),
+        F.when(F.col("title").isNull(), f" {answer.REFUSAL}").otherwise(""),
+    )
+    judged = F.when(F.col("company").isNotNull(), F.concat(F.lit('Sure: {"total_claims": '), told("dense_rank"), F.lit(', "unsupported_claims": '), told("sparse_rank"), F.lit(', "worst": "x"} end'))).otherwise("no verdict")
+    return table(spark, d, "hits").select(F.col("hit_id").alias("id"), F.col("sim").alias("top_sim"), F.lit(10).alias("hits"), F.when(F.col("section").isNotNull(), reply).alias("reply"), judged.alias("judged"))
 
 
 def _citations(spark: SparkSession, d: str) -> DataFrame:
-    return _replies(spark).select("id", F.array_join(answer.citations(F.col("reply"), F.col("hits")), ",").alias("cited"), answer.dangling(F.col("reply"), F.col("hits")).alias("dangling"))
+    return _replies(spark, d).select("id", F.array_join(answer.citations(F.col("reply"), F.col("hits")), ",").alias("cited"), answer.dangling(F.col("reply"), F.col("hits")).alias("dangling"))
 
 
 def _verdicts(spark: SparkSession, d: str) -> DataFrame:
-    return _replies(spark).select("id", answer.parse_verdict(F.col("judged")).alias("v")).select("id", "v.total", "v.unsupported", "v.ran")
+    return _replies(spark, d).select("id", answer.parse_verdict(F.col("judged")).alias("v")).select("id", "v.total", "v.unsupported", "v.worst", "v.ran")
 
 
 def _guards(spark: SparkSession, d: str) -> DataFrame:
-    return _replies(spark).select("id", answer.outcome(F.col("top_sim"), F.col("reply"), answer.parse_verdict(F.col("judged"))).alias("outcome"))
+    asked = (F.col("top_sim"), F.col("reply"), answer.parse_verdict(F.col("judged")))
+    return _replies(spark, d).select("id", answer.outcome(*asked).alias("outcome"), answer.reason(*asked).alias("reason"))
+
+
+def _answers(spark: SparkSession, d: str) -> DataFrame:
+    """Each delivered hit of a known question as an answer, with what was measured of it."""
+    hits = table(spark, d, "hits").join(table(spark, d, "questions").select(F.col("id").alias("question_id"), "should_refuse"), "question_id")
+    missing = F.col("sparse_rank").isNull()
+    return hits.select(
+        "should_refuse", (F.coalesce("sim", F.lit(0.0)) < 0.6).alias("refused"), F.col("dense_rank").alias("claims"), F.col("sparse_rank").alias("unsupported"), missing.alias("judge_failed"),
+        F.size(answer.citation_numbers(F.col("text"))).alias("citations"), F.size(F.split(F.coalesce("title", F.lit("")), " ")).alias("bad_citations"), F.col("rerank_score").isNotNull().alias("widened"), (~missing).alias("verified"),
+        (F.coalesce(F.col("sparse_rank") > F.col("dense_rank"), F.lit(False))).alias("overturned"), F.length(F.coalesce("text", F.lit(""))).alias("prompt_tokens"), F.col("score").alias("latency_s"),
+    )
 
 
 def _ranked(spark: SparkSession, d: str) -> DataFrame:
@@ -63,14 +65,13 @@ def _coverage(spark: SparkSession, d: str) -> DataFrame:
     return evaluate.coverage(table(spark, d, "questions"), table(spark, d, "documents"))
 
 
-def _values(rows: list[tuple]) -> str:
-    show = lambda v: "NULL" if v is None else str(v).upper() if isinstance(v, bool) else "'" + v.replace("'", "''") + "'" if isinstance(v, str) else f"{v}::DOUBLE" if isinstance(v, float) else str(v)
-    return ", ".join("(" + ", ".join(show(v) for v in row) + ")" for row in rows)
-
-
-_R = f"WITH r(id, top_sim, hits, reply, judged) AS (VALUES {_values(REPLIES)})"
+_TOLD = lambda c: f"coalesce({c}::VARCHAR, '0')"
+_R = f"""WITH r AS (SELECT hit_id AS id, sim AS top_sim, 10 AS hits,
+CASE WHEN section IS NOT NULL THEN coalesce(text, '') || ' [' || {_TOLD('dense_rank')} || '] and [' || {_TOLD('sparse_rank')} || '], see [' || {_TOLD('dense_rank')} || '][1, 2]' || CASE WHEN title IS NULL THEN ' {answer.REFUSAL}' ELSE '' END END AS reply,
+CASE WHEN company IS NOT NULL THEN 'Sure: {{"total_claims": ' || {_TOLD('dense_rank')} || ', "unsupported_claims": ' || {_TOLD('sparse_rank')} || ', "worst": "x"}} end' ELSE 'no verdict' END AS judged FROM hits)"""
 _V = _R + r""", b AS (SELECT *, regexp_extract(coalesce(judged, ''), '(?s)(\{.*\})', 1) AS body FROM r),
-v AS (SELECT *, CASE WHEN body <> '' THEN (body->>'total_claims')::INTEGER END AS t, CASE WHEN body <> '' THEN (body->>'unsupported_claims')::INTEGER END AS u FROM b)"""
+v AS (SELECT *, CASE WHEN body <> '' THEN (body->>'total_claims')::INTEGER END AS t, CASE WHEN body <> '' THEN (body->>'unsupported_claims')::INTEGER END AS u, CASE WHEN body <> '' THEN body->>'worst' END AS worst FROM b)"""
+_OUTCOME = f"CASE WHEN coalesce(top_sim, 0) < 0.6 THEN 'refused: similarity' WHEN contains(coalesce(reply, ''), '{answer.REFUSAL}') THEN 'refused: model' WHEN t > 0 AND u / t > {answer.UNSUPPORTED} THEN 'refused: claims' ELSE 'answered' END"
 _RANKED = """
 WITH ranked AS (SELECT *, question_id AS qid, row_number() OVER (PARTITION BY question_id ORDER BY score DESC NULLS LAST, hit_id) AS rank FROM hits WHERE question_id IS NOT NULL)
 """
@@ -95,10 +96,11 @@ QUERIES = {
         g AS (SELECT id, hits, ns, list_filter(ns, lambda x: x >= 1 AND x <= hits) AS ok FROM n)
         SELECT id, array_to_string(list_filter(ok, lambda x, i: NOT list_contains(ok[1:i - 1], x)), ',') AS cited, (len(ns) - len(ok))::INTEGER AS dangling FROM g""",
     ),
-    "verdict_parse": (_verdicts, _V + " SELECT id, coalesce(CASE WHEN u IS NOT NULL THEN t END, 0)::INTEGER AS total, coalesce(CASE WHEN t IS NOT NULL THEN u END, 0)::INTEGER AS unsupported, t IS NOT NULL AND u IS NOT NULL AS ran FROM v"),
+    "verdict_parse": (_verdicts, _V + " SELECT id, coalesce(CASE WHEN u IS NOT NULL THEN t END, 0)::INTEGER AS total, coalesce(CASE WHEN t IS NOT NULL THEN u END, 0)::INTEGER AS unsupported, CASE WHEN t IS NOT NULL AND u IS NOT NULL THEN worst END AS worst, t IS NOT NULL AND u IS NOT NULL AS ran FROM v"),
     "guard_outcomes": (
         _guards,
-        _V + f" SELECT id, CASE WHEN coalesce(top_sim, 0) < 0.6 THEN 'refused: similarity' WHEN contains(coalesce(reply, ''), '{answer.REFUSAL}') THEN 'refused: model' WHEN t > 0 AND u / t > {answer.UNSUPPORTED} THEN 'refused: claims' ELSE 'answered' END AS outcome FROM v",
+        _V + f""" SELECT id, outcome, CASE outcome WHEN 'refused: similarity' THEN 'top similarity ' || round(coalesce(top_sim, 0), 4) || ' < 0.6' WHEN 'refused: model' THEN 'the model found the context insufficient'
+        WHEN 'refused: claims' THEN u || '/' || t || ' claims unsupported' END AS reason FROM (SELECT *, {_OUTCOME} AS outcome FROM v)""",
     ),
     "context_block": (
         _context,
@@ -124,12 +126,17 @@ QUERIES = {
         _SWEEP + "SELECT thr, accuracy, tp::BIGINT AS tp, fn::BIGINT AS fn, fp::BIGINT AS fp, thr > 0 AND tp > 0 AS works FROM swept ORDER BY accuracy DESC, fn, thr LIMIT 1",
     ),
     "generation_metrics": (
-        lambda s, d: evaluate.generation_metrics(s.createDataFrame(ANSWERS, "should_refuse boolean, refused boolean, claims int, unsupported int, citations int, bad_citations int, widened boolean, prompt_tokens int")),
-        f"""WITH a(should_refuse, refused, claims, unsupported, citations, bad_citations, widened, prompt_tokens) AS (VALUES {_values(ANSWERS)})
+        lambda s, d: evaluate.generation_metrics(_answers(s, d)),
+        r"""WITH a AS (SELECT should_refuse, coalesce(sim, 0) < 0.6 AS refused, dense_rank AS claims, sparse_rank AS unsupported, sparse_rank IS NULL AS judge_failed, len(regexp_extract_all(coalesce(text, ''), '\[(\d{1,9})\]')) AS citations,
+          len(string_split(coalesce(title, ''), ' ')) AS bad_citations, rerank_score IS NOT NULL AS widened, sparse_rank IS NOT NULL AS verified, coalesce(sparse_rank > dense_rank, FALSE) AS overturned, length(coalesce(text, '')) AS prompt_tokens, score AS latency_s
+          FROM hits JOIN questions ON questions.id = hits.question_id),
+        l AS (SELECT latency_s, row_number() OVER (ORDER BY latency_s) AS pos, count(*) OVER () AS n FROM a WHERE latency_s IS NOT NULL),
+        p AS (SELECT round(quantile_cont(latency_s, 0.5), 6) AS p50_latency_s, round(max(CASE WHEN pos = CASE WHEN floor(n * 0.95) = 0 THEN n ELSE floor(n * 0.95) END THEN latency_s END), 6) AS p95_latency_s FROM l)
         SELECT count(*)::BIGINT AS answers, round(count(*) FILTER (refused = should_refuse) / count(*), 4) AS refusal_accuracy, count(*) FILTER (should_refuse AND NOT refused)::BIGINT AS missed,
-        count(*) FILTER (refused AND NOT should_refuse)::BIGINT AS over_refusals, round(1 - sum(unsupported) / sum(claims), 4) AS faithfulness, count(*) FILTER (NOT refused AND claims IS NULL)::BIGINT AS unjudged,
-        count(*) FILTER (NOT refused AND citations > 0)::BIGINT AS cited, sum(bad_citations)::BIGINT AS dangling, count(*) FILTER (widened AND NOT refused)::BIGINT AS rescued,
-        floor(avg(prompt_tokens) FILTER (NOT refused))::BIGINT AS mean_prompt_tokens FROM a""",
+        count(*) FILTER (refused AND NOT should_refuse)::BIGINT AS over_refusals, round(1 - sum(unsupported) FILTER (NOT refused AND NOT judge_failed) / sum(claims) FILTER (NOT refused AND NOT judge_failed), 4) AS faithfulness,
+        count(*) FILTER (NOT refused AND judge_failed)::BIGINT AS judge_failures, count(*) FILTER (NOT refused AND citations > 0)::BIGINT AS cited, sum(bad_citations)::BIGINT AS dangling, count(*) FILTER (widened AND NOT refused)::BIGINT AS rescued,
+        count(*) FILTER (verified)::BIGINT AS checked, count(*) FILTER (overturned)::BIGINT AS overturned, count(*) FILTER (overturned AND should_refuse)::BIGINT AS overturned_rightly, count(*) FILTER (overturned AND NOT should_refuse)::BIGINT AS overturned_wrongly,
+        floor(avg(prompt_tokens) FILTER (NOT refused))::BIGINT AS mean_prompt_tokens, any_value(p50_latency_s) AS p50_latency_s, any_value(p95_latency_s) AS p95_latency_s FROM a, p""",
     ),
     "score_percentiles": (
         lambda s, d: evaluate.percentiles(table(s, d, "hits"), "score"),

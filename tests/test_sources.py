@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from loomery.sources.corpus import POSTING, docx_text, read_corpus, read_index, read_questions, vectors_of, write_corpus, write_index
-from loomery.streaming.ingest import latest_by_key, merge_into, windowed_counts
+from loomery.streaming.ingest import batch_delta, latest_by_key, merge_into, windowed_counts
 
 
 def test_corpus_round_trip(spark, tmp_path):
@@ -45,10 +45,20 @@ def test_stream(spark, tmp_path):
     before = spark.createDataFrame([(1, "a"), (2, "b")], "id long, text string")
     before.write.parquet(state)
     spark.createDataFrame([(1, "a"), (3, "c")], "id long, text string").write.parquet(source)
-    got = []
-    stream = spark.readStream.schema("id long, text string").parquet(source)
-    merge_into(stream, lambda: spark.read.parquet(state), lambda d, n: got.extend(d.collect()), "id", ["text"], str(tmp_path / "cp")).awaitTermination()
-    assert {r.id: r.state for r in got} == {1: "same", 2: "closed", 3: "new"}
+    for full, want in ((False, {1: "same", 3: "new"}), (True, {1: "same", 2: "closed", 3: "new"})):
+        got = []
+        stream = spark.readStream.schema("id long, text string").parquet(source)
+        merge_into(stream, lambda: spark.read.parquet(state), lambda d, n: got.extend(d.collect()), "id", ["text"], str(tmp_path / f"cp{full}"), full=full).awaitTermination()
+        assert {r.id: r.state for r in got} == want
+
+
+def test_batch_delta(spark):
+    before = spark.createDataFrame([(1, "a"), (2, "b"), (3, None), (4, "d")], "id long, text string")
+    rows = [(1, "a", 1, None), (2, "x", 2, False), (2, "b", 1, True), (3, None, 1, None), (4, "d", 1, None), (4, "d", 2, True), (5, "new", 1, None)]
+    batch = spark.createDataFrame(rows, "id long, text string, at int, gone boolean")
+    got = {r.id: r.state for r in batch_delta(before, batch, "id", ["text"], "at", "gone").collect()}
+    assert got == {1: "same", 2: "changed", 3: "same", 4: "closed", 5: "new"}
+    assert batch_delta(before, batch.limit(0), "id", ["text"]).count() == 0
 
 
 def test_windows_and_redelivery(spark, tmp_path):
