@@ -349,23 +349,32 @@ class Index:
     def sparse(self, questions: DataFrame, k: int = FETCH, filters: Column | None = None) -> DataFrame:
         return self.bm25.search(questions, k, self.kept(filters))
 
-    def fused(self, questions: DataFrame, k: int = FETCH, filters: Column | None = None, mode: str = "hybrid") -> DataFrame:
+    def rankings(self, questions: DataFrame, k: int = FETCH, filters: Column | None = None) -> tuple[DataFrame, DataFrame]:
+        """Both rankings to a depth of ``k``, written, for several retrievals of the same questions."""
+        return stash(self.dense(questions, k, filters)), stash(self.sparse(questions, k, filters))
+
+    def fused(self, questions: DataFrame, k: int = FETCH, filters: Column | None = None, mode: str = "hybrid", ranked: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
         if mode not in ("hybrid", "dense"):
             raise ValueError(f"no such mode: {mode}")
-        dense = self.dense(questions, k, filters)
-        sparse = dense.limit(0) if mode == "dense" else self.sparse(questions, k, filters)
-        return fuse(dense, sparse, key=self.key, k=k)
-
-    def retrieve(self, questions: DataFrame, filters: Column | None = None, mode: str = "hybrid", scorer: Scorer | None = None, k: int = FETCH, first: int = TOP) -> DataFrame:
+        dense = self.dense(questions, k, filters) if ranked is None else ranked[0].where(F.col("rank") <= k)
+        if mode == "dense":
+            return fuse(dense, dense.limit(0), key=self.key, k=k)
+        return fuse(dense, self.sparse(questions, k, filters) if ranked is None else ranked[1].where(F.col("rank") <= k), key=self.key, k=k)
+
+    def retrieve(
+        self, questions: DataFrame, filters: Column | None = None, mode: str = "hybrid", scorer: Scorer | None = None, k: int = FETCH, first: int = TOP, ranked: tuple[DataFrame, DataFrame] | None = None
+    ) -> DataFrame:
         """Final hits of each question: qid, key, rank, score, dense_rank, sparse_rank, sim, rerank_score and the texts' columns.
 
         One predicate holds below both rankings; ``mode`` "dense" leaves BM25 out; with a scorer twice as many candidates
-        are fetched and all of them reranked. Texts and vectors are read for the candidates alone.
+        are fetched and all of them reranked. Texts and vectors are read for the candidates alone. ``ranked`` may hold
+        rankings of the same questions under the same filter that are deep enough.
         """
         fetch = 2 * k if scorer else k
-        fused = stash(self.fused(questions, fetch, filters, mode))
+        wanted = fetch if scorer else first
+        fused = stash(self.fused(questions, fetch, filters, mode, ranked).where(F.col("rank") <= wanted))
         few = F.broadcast(fused) if small_enough(fused, 300_000) else fused
-        found = hydrate(few, self.rows, self.vectors, self.asked(questions), key=self.key, columns=self.columns, first=fetch if scorer else first)
+        found = hydrate(few, self.rows, self.vectors, self.asked(questions), key=self.key, columns=self.columns, first=wanted)
         return rerank(found.join(questions.select("qid", "question"), "qid"), scorer, first)
 
     def widened(self, questions: DataFrame, least: float = LEAST_SIM, factor: int = 3, k: int = FETCH, **options: object) -> DataFrame:

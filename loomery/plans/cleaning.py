@@ -98,7 +98,7 @@ _SPLIT = " SELECT doc_id, section, count(*)::BIGINT AS bodies, sum(length(body))
 _PLAIN = lambda x: f"replace(replace(replace({x}, '&#39;', chr(39)), '&nbsp;', chr(160)), '&amp;', '&')"
 
 
-def _chunk_sql(size: int = 1600, overlap: int = 200, least: int = 80) -> str:
+def chunk_sql(size: int = 1600, overlap: int = 200, least: int = 80) -> str:
     """Tables fixed_chunks, section_chunks and both_chunks: windows packed by recursion over each body's paragraphs."""
     step, parts = size - overlap, _PARTS("body").replace("chr(10))", "chr(10) || chr(10))")
     fits = f"(cur = '' OR length(cur) + length(p) + 2 <= {size})"
@@ -175,17 +175,17 @@ QUERIES = {
         SELECT company, fp, n::BIGINT AS n, n_docs::BIGINT AS n_docs, (SELECT arg_min(paragraph, hit_id * 1000000 + pos) FROM printed p WHERE p.company = top.company AND p.fp = top.fp) AS sample FROM top""",
     ),
     "section_split": (_section_split, _heading_sql() + _SPLIT),
-    "chunk_fixed": (lambda s, d: _chunks(s, d, "fixed"), _chunk_sql() + " SELECT * FROM fixed_chunks"),
-    "chunk_section": (lambda s, d: _chunks(s, d, "section"), _chunk_sql() + " SELECT * FROM section_chunks"),
-    "chunk_stats": (lambda s, d: chunk.stats(_both(s, d)), _chunk_sql() + _STATS + " SELECT strategy, chunks::BIGINT AS chunks, mean_chars::BIGINT AS mean_chars, min_chars::INTEGER AS min_chars, max_chars::INTEGER AS max_chars FROM stats"),
+    "chunk_fixed": (lambda s, d: _chunks(s, d, "fixed"), chunk_sql() + " SELECT * FROM fixed_chunks"),
+    "chunk_section": (lambda s, d: _chunks(s, d, "section"), chunk_sql() + " SELECT * FROM section_chunks"),
+    "chunk_stats": (lambda s, d: chunk.stats(_both(s, d)), chunk_sql() + _STATS + " SELECT strategy, chunks::BIGINT AS chunks, mean_chars::BIGINT AS mean_chars, min_chars::INTEGER AS min_chars, max_chars::INTEGER AS max_chars FROM stats"),
     "chunk_sections_counted": (
         lambda s, d: chunk.section_stats(_both(s, d)),
-        _chunk_sql() + """, n AS (SELECT strategy, section, count(*) AS chunks FROM both_chunks GROUP BY ALL)
+        chunk_sql() + """, n AS (SELECT strategy, section, count(*) AS chunks FROM both_chunks GROUP BY ALL)
         SELECT strategy, section, chunks::BIGINT AS chunks, round(chunks / sum(chunks) OVER (PARTITION BY strategy), 4) AS share, row_number() OVER (PARTITION BY strategy ORDER BY chunks DESC, section)::INTEGER AS ord FROM n""",
     ),
     "strategy_compare": (
         lambda s, d: chunk.compare(_both(s, d)),
-        _chunk_sql() + _STATS + """, f AS (FROM stats WHERE strategy = 'fixed'), s AS (FROM stats WHERE strategy = 'section')
+        chunk_sql() + _STATS + """, f AS (FROM stats WHERE strategy = 'fixed'), s AS (FROM stats WHERE strategy = 'section')
         SELECT s.chunks::BIGINT AS section_chunks, s.mean_chars::BIGINT AS section_mean, f.chunks::BIGINT AS fixed_chunks, f.mean_chars::BIGINT AS fixed_mean,
         round(s.chunks / greatest(f.chunks, 1), 4) AS count_ratio, round(s.mean_chars / greatest(f.mean_chars, 1), 4) AS size_ratio FROM f, s""",
     ),

@@ -6,6 +6,10 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from loomery.operators import answer, evaluate
+from loomery.operators.chunk import chunk
+from loomery.operators.retrieve import Index
+from loomery.plans import cleaning, search
+from loomery.session import stash
 from loomery.sources.tables import table
 
 def _replies(spark: SparkSession, d: str) -> DataFrame:
@@ -57,6 +61,18 @@ def _per_question(spark: SparkSession, d: str) -> DataFrame:
     return evaluate.first_hit(_ranked(spark, d).where("rank <= 5"), table(spark, d, "questions"))
 
 
+def _matrix(spark: SparkSession, d: str) -> DataFrame:
+    """Two ways of chunking, with and without BM25, with and without reranking (by length, standing in for a model)."""
+    asked, rankings = table(spark, d, "questions").withColumn("qid", F.col("id")), {}
+    for strategy in ("section", "fixed"):
+        index = Index(stash(chunk(table(spark, d, "documents"), strategy)), key="id", dim=search.DIM, columns=("text",))
+        ranked = index.rankings(asked, 40)
+        for mode in ("hybrid", "dense"):
+            for scorer in (None, search.longest):
+                rankings[f"{strategy}/{mode}/{'rerank' if scorer else 'norerank'}"] = index.retrieve(asked, mode=mode, scorer=scorer, ranked=ranked)
+    return evaluate.matrix(rankings, asked).drop("seconds")
+
+
 def _sweep(spark: SparkSession, d: str) -> DataFrame:
     return evaluate.sweep(_per_question(spark, d))
 
@@ -84,6 +100,31 @@ found AS (SELECT qid, min(rank) AS first_rank FROM ranked JOIN terms ON id = qid
 sims AS (SELECT qid, round(coalesce(max(sim), 0), 4) AS top_sim, count(*) AS n_hits FROM ranked WHERE rank <= 5 GROUP BY qid),
 per AS (SELECT q.id AS qid, should_refuse, category, first_rank, coalesce(top_sim, 0) AS top_sim, n_hits FROM questions q LEFT JOIN sims ON sims.qid = q.id LEFT JOIN found ON found.qid = q.id)
 """
+_METRICS = """count(*) FILTER (NOT should_refuse)::BIGINT AS answerable, round(count(first_rank) FILTER (NOT should_refuse) / greatest(count(*) FILTER (NOT should_refuse), 1), 4) AS hit_rate,
+        round(coalesce(sum(1 / first_rank) FILTER (NOT should_refuse), 0) / greatest(count(*) FILTER (NOT should_refuse), 1), 4) AS mrr, round(avg(first_rank) FILTER (NOT should_refuse), 2) AS mean_first_hit,
+        round(avg(top_sim) FILTER (NOT should_refuse), 4) AS sim_answerable, round(avg(top_sim) FILTER (should_refuse), 4) AS sim_refuse,
+        round(avg(top_sim) FILTER (NOT should_refuse) - avg(top_sim) FILTER (should_refuse), 4) AS separation, round(avg(top_sim) FILTER (NOT should_refuse) - avg(top_sim) FILTER (category = 'off_domain'), 4) AS separation_off_domain"""
+
+
+def _matrix_sql() -> str:
+    parts, names = [], []
+    for strategy in ("section", "fixed"):
+        docs = f"(SELECT id AS doc_id, text FROM {strategy}_chunks)"
+        for mode in ("hybrid", "dense"):
+            for k, rank, name in ((20, "rank", "norerank"), (40, "row_number() OVER (PARTITION BY qid ORDER BY length(text) DESC, rank)", "rerank")):
+                ranked = "FROM fused" if mode == "hybrid" else "FROM (SELECT qid, doc_id, rank FROM dense)"
+                found = search.wide_sql(k).replace("FROM documents", f"FROM {docs}").strip()
+                names.append(f"{strategy}_{mode}_{name}")
+                parts.append(f"""{names[-1]} AS ({found} SELECT * FROM (SELECT '{strategy}/{mode}/{name}' AS config, qid, {rank} AS rank, round(sim, 6) AS sim, text
+                {ranked} JOIN sims USING (qid, doc_id) JOIN {docs} USING (doc_id)) WHERE rank <= 5)""")
+    return f"""{cleaning.chunk_sql()}, {", ".join(parts)}, ranked AS ({" UNION ALL ".join(f"FROM {n}" for n in names)}),
+    terms AS (SELECT id, unnest(expect_terms) AS term FROM questions), found AS (SELECT config, qid, min(rank) AS first_rank FROM ranked JOIN terms ON id = qid WHERE {_HAS('term', 'text')} GROUP BY ALL),
+    best AS (SELECT config, qid, round(coalesce(max(sim), 0), 4) AS top_sim FROM ranked GROUP BY ALL),
+    per AS (SELECT c.config, q.id AS qid, should_refuse, category, first_rank, coalesce(top_sim, 0) AS top_sim FROM (SELECT DISTINCT config FROM ranked) c CROSS JOIN questions q
+      LEFT JOIN best ON best.qid = q.id AND best.config = c.config LEFT JOIN found ON found.qid = q.id AND found.config = c.config),
+    measured AS (SELECT config, {_METRICS} FROM per GROUP BY config)"""
+
+
 _SWEEP = _QUESTION + """, swept AS (SELECT thr, count(*) FILTER (top_sim < thr AND should_refuse) AS tp, count(*) FILTER (top_sim >= thr AND should_refuse) AS fn,
 count(*) FILTER (top_sim < thr AND NOT should_refuse) AS fp, count(*) FILTER (top_sim >= thr AND NOT should_refuse) AS tn, round((tp + tn) / greatest(tp + tn + fp + fn, 1), 3) AS accuracy
 FROM per, (SELECT round(i / 20, 2) AS thr FROM range(21) t(i)) GROUP BY thr)
@@ -115,10 +156,12 @@ QUERIES = {
     ),
     "retrieval_metrics": (
         lambda s, d: evaluate.retrieval_metrics(_per_question(s, d)),
-        _QUESTION + """SELECT count(*) FILTER (NOT should_refuse)::BIGINT AS answerable, round(count(first_rank) FILTER (NOT should_refuse) / greatest(count(*) FILTER (NOT should_refuse), 1), 4) AS hit_rate,
-        round(coalesce(sum(1 / first_rank) FILTER (NOT should_refuse), 0) / greatest(count(*) FILTER (NOT should_refuse), 1), 4) AS mrr, round(avg(first_rank) FILTER (NOT should_refuse), 2) AS mean_first_hit,
-        round(avg(top_sim) FILTER (NOT should_refuse), 4) AS sim_answerable, round(avg(top_sim) FILTER (should_refuse), 4) AS sim_refuse,
-        round(avg(top_sim) FILTER (NOT should_refuse) - avg(top_sim) FILTER (should_refuse), 4) AS separation, round(avg(top_sim) FILTER (NOT should_refuse) - avg(top_sim) FILTER (category = 'off_domain'), 4) AS separation_off_domain FROM per""",
+        _QUESTION + f"SELECT {_METRICS} FROM per",
+    ),
+    "retrieval_matrix": (_matrix, _matrix_sql() + " SELECT * FROM measured"),
+    "best_configuration": (
+        lambda s, d: evaluate.best_configuration(_matrix(s, d)),
+        _matrix_sql() + " SELECT (SELECT config FROM measured ORDER BY mrr DESC NULLS LAST, separation DESC NULLS LAST, config LIMIT 1) AS config, (SELECT config FROM measured ORDER BY separation DESC NULLS LAST, config LIMIT 1) AS cleanest",
     ),
     "threshold_sweep": (_sweep, _SWEEP + "SELECT thr, tp::BIGINT AS tp, fn::BIGINT AS fn, fp::BIGINT AS fp, tn::BIGINT AS tn, accuracy FROM swept"),
     "best_threshold": (

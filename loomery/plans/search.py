@@ -60,13 +60,13 @@ def _filters(spark: SparkSession, d: str) -> DataFrame:
     return found.select("qid", "doc_id", "rank", F.round("sim", 6).alias("sim"))
 
 
-def _longest(pairs: list[tuple[str, str]]) -> list[float]:
+def longest(pairs: list[tuple[str, str]]) -> list[float]:
     """A stand-in for a reranking model: longer texts score higher."""
     return [float(len(text or "")) for _, text in pairs]
 
 
 def _reranked(spark: SparkSession, d: str) -> DataFrame:
-    return _index(spark, d).retrieve(_questions(spark, d), scorer=_longest).select("qid", "doc_id", "rank", "fused_rank", "rerank_score")
+    return _index(spark, d).retrieve(_questions(spark, d), scorer=longest).select("qid", "doc_id", "rank", "fused_rank", "rerank_score")
 
 
 def _widened(spark: SparkSession, d: str) -> DataFrame:
@@ -135,7 +135,7 @@ joined AS (SELECT qid, doc_id, d.rank AS dense_rank, s.rank AS sparse_rank, roun
 fused AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, dense_rank NULLS LAST, sparse_rank NULLS LAST) AS rank FROM joined) WHERE rank <= 20)
 """
 _FUSED = "WITH " + _TOKENS.strip() + _SPARSE[len(_TOKENS):] + _DENSE
-_WIDE = lambda k: _FUSED.replace("rank <= 20", f"rank <= {k}")
+wide_sql = lambda k: _FUSED.replace("rank <= 20", f"rank <= {k}")
 _LABEL = "coalesce(nullif(source, ''), 'Unknown company') || ' - ' || coalesce(nullif(title, ''), 'Untitled role')"
 _COS = """
 WITH asked AS (SELECT vec_id AS qid, embedding::DOUBLE[] AS x FROM embeddings WHERE vec_id % 50 = 0),
@@ -185,12 +185,12 @@ QUERIES = {
     ),
     "retrieve_reranked": (
         _reranked,
-        _WIDE(40) + """SELECT qid, doc_id, row_number() OVER (PARTITION BY qid ORDER BY length(coalesce(text, '')) DESC, rank)::INTEGER AS rank, rank::INTEGER AS fused_rank, length(coalesce(text, ''))::DOUBLE AS rerank_score
+        wide_sql(40) + """SELECT qid, doc_id, row_number() OVER (PARTITION BY qid ORDER BY length(coalesce(text, '')) DESC, rank)::INTEGER AS rank, rank::INTEGER AS fused_rank, length(coalesce(text, ''))::DOUBLE AS rerank_score
         FROM fused JOIN documents USING (doc_id) QUALIFY row_number() OVER (PARTITION BY qid ORDER BY length(coalesce(text, '')) DESC, rank) <= 5""",
     ),
     "retrieve_widened": (
         _widened,
-        _WIDE(9).replace("fused AS", "wide AS").rstrip() + """, narrow AS (SELECT qid, doc_id, row_number() OVER (PARTITION BY qid ORDER BY score DESC, dense_rank NULLS LAST, sparse_rank NULLS LAST) AS rank FROM (
+        wide_sql(9).replace("fused AS", "wide AS").rstrip() + """, narrow AS (SELECT qid, doc_id, row_number() OVER (PARTITION BY qid ORDER BY score DESC, dense_rank NULLS LAST, sparse_rank NULLS LAST) AS rank FROM (
           SELECT qid, doc_id, d.rank AS dense_rank, s.rank AS sparse_rank, round(coalesce(1 / (60 + d.rank), 0) + coalesce(1 / (60 + s.rank), 0), 9) AS score
           FROM (FROM dense WHERE rank <= 3) d FULL JOIN (FROM sparse WHERE rank <= 3) s USING (qid, doc_id)) QUALIFY rank <= 3),
         first AS (SELECT qid, round(sim, 6) AS sim FROM narrow JOIN sims USING (qid, doc_id)), sure AS (SELECT qid FROM first GROUP BY qid HAVING max(sim) >= 0.7),
