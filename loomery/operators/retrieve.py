@@ -76,7 +76,9 @@ def query_blocks(queries: DataFrame, query: str, block: int) -> Iterator[list[Ro
     count = queries.select(query).distinct().count()
     blocks = -(-count // block)
     for number in range(blocks):
-        yield (queries if blocks == 1 else queries.where(F.pmod(F.xxhash64(query), F.lit(blocks)) == number)).orderBy(query).collect()
+        rows = (queries if blocks == 1 else queries.where(F.pmod(F.xxhash64(query), F.lit(blocks)) == number)).orderBy(query).collect()
+        if rows:
+            yield rows
 
 
 def nearest(vectors: DataFrame, queries: DataFrame, k: int, key: str = "vec_id", vector: str = "embedding", query: str = "qid", block: int = 4096) -> DataFrame:

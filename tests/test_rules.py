@@ -1,5 +1,8 @@
 """Golden cases of the rule-based operators."""
 
+import random
+import statistics
+
 from pyspark.sql import functions as F
 
 from loomery.config import Config
@@ -133,3 +136,97 @@ def test_rerank(spark):
     got = ask.rerank(hits, lambda pairs: [float(len(t)) for _, t in pairs], 2).orderBy("rank").collect()
     assert [(r.text, r.fused_rank) for r in got] == [("yyy", 2), ("zz", 3)]
     assert [r.text for r in ask.rerank(hits, None, 2).orderBy("rank").collect()] == ["x", "yyy"]
+
+
+def test_coverage_keeps_punctuated_terms(spark):
+    terms = [("a", ["c++"]), ("b", ["++"]), ("c", ["foo"]), ("d", ["Two Words", "zebra"]), ("e", None), ("f", ["r&d"]), ("g", ["x_y"])]
+    questions = spark.createDataFrame(terms, "id string, expect_terms array<string>")
+    texts = [("abc++", "s1"), ("foo_bar", "s1"), ("foo-bar TWO  words, zebra", "s2"), ("R&D x_y", None), (None, "s3"), ("two words zebra", "s2")]
+    rows = spark.createDataFrame([(i, t, s) for i, (t, s) in enumerate(texts)], "doc_id int, text string, source string").withColumn("id", F.lit("clash"))
+    got = {r.id: (r.docs, r.sources, r.label) for r in evaluate.coverage(questions, rows).collect()}
+    assert got == {"a": (1, 1, "THIN"), "b": (1, 1, "THIN"), "c": (1, 1, "THIN"), "d": (2, 1, "THIN"), "e": (0, 0, "NOT IN CORPUS"), "f": (1, 0, "THIN"), "g": (1, 0, "THIN")}
+    each = questions.where("expect_terms IS NOT NULL").select("id", F.explode("expect_terms").alias("t")).crossJoin(rows.select("text")).where(evaluate.term_in(F.col("t"), F.col("text")))
+    assert {r.id for r in each.collect()} == {k for k, v in got.items() if v[0]}
+    assert evaluate.coverage(questions, rows.limit(0)).where("docs > 0").count() == 0 and evaluate.coverage(questions.limit(0), rows).count() == 0
+
+
+def test_percentiles_equal_sorted_positions(spark):
+    rng = random.Random(1)
+    for values in ([3.0], [1.0, 2.0], [rng.choice([0.5, rng.random()]) for _ in range(999)], [7.0] * 50):
+        row = evaluate.percentiles(spark.createDataFrame([(v,) for v in [*values, None]], "v double").repartition(4), "v").first()
+        held = sorted(values)
+        assert row.p50 == round(statistics.median(held), 6) and row.p95 == round(held[int(len(held) * 0.95) - 1], 6)
+    empty = evaluate.percentiles(spark.createDataFrame([], "v double"), "v").first()
+    assert empty.p50 is None and empty.p95 is None
+
+
+def test_market_counts_postings(spark):
+    pairs = spark.createDataFrame([("python", j) for j in ["python sql", "python sql sql sql", "docker", "", None]], "resume string, job string")
+    got = {(r.kind, r.term): (r.postings, r.core_in, r.total, r.low) for r in skills.market(skills.fit(pairs), 0.1).collect()}
+    assert got == {("strength", "python"): (2, 0, 3, 3), ("gap", "sql"): (2, 1, 3, 3), ("gap", "docker"): (1, 0, 3, 3)}
+    assert skills.market(skills.fit(pairs.limit(0))).count() == 0 and {r.term for r in skills.market(skills.fit(pairs), 0.5, 1).collect()} == {"python", "sql"}
+
+
+def test_competencies_are_ordered_and_counted(spark):
+    fitted = skills.fit(spark.createDataFrame([(1, "python", "python java kafka kafka kafka kafka"), (2, "python", "")], "id int, resume string, job string"))
+    rows = skills.competencies(fitted, "id").orderBy("ord").collect()
+    assert [(r.grp, r.matched, r.missing, r.weight, r.total, r.percent, r.ord) for r in rows] == [("Data", [], ["kafka"], 4, 1, 0, 1), ("Languages", ["python"], ["java"], 2, 2, 50, 2)]
+
+
+def test_resume_structure(spark):
+    text = "Senior Data Engineer | Acme\nFull-Stack Engineer\nPython, SQL, Spark, Kafka and Docker in CA and GA, with SOC audits.\n2015 - 2019 and 03/2019 to present. " + "x" * 400
+    got = resume.load(spark.createDataFrame([(1, text), (2, "short"), (3, None)], "id int, text string"), taxonomy={"A": ["python", "sql"], "B": ["python", "kafka"], "C": ["rust"]}).orderBy("id").collect()
+    assert got[0].skills == ["kafka", "python", "soc", "sql"] and [(c.grp, c.terms) for c in got[0].competencies] == [("A", ["python", "sql"]), ("B", ["kafka", "python"])]
+    assert got[0].titles == ["Senior Data Engineer"] and got[0].years == 11.0 and got[0].seniority == "senior" and got[0].usable and got[0].warnings == ["few skills"]
+    assert got[0].summary.endswith(" chars via text, 4 skill term(s), ~11 yrs, senior")
+    assert [r.usable for r in got[1:]] == [False, False] and got[1].skills is None and got[1].warnings == ["little text"]
+
+
+def test_templates_of_authorization(spark):
+    assert place.expanded("a/b c? d|e") == ["a d/e", "a c d/e", "b d/e", "b c d/e"]
+    asked = ["We do not provide sponsorship.", "Visa sponsorship available; U.S. citizens, TS/SCI", "must be legally authorized to work in the United States", "sponsored talks", None]
+    assert one(spark, place.authorization, *asked) == [["no_sponsorship"], ["sponsorship_available", "clearance_required"], ["us_auth_required"], [], []]
+
+
+def test_verifier_sees_answers_alone_and_each_prompt_is_sent_once(spark, tmp_path):
+    log = str(tmp_path / "log")
+
+    def model(prompts):
+        with open(log, "a") as file:
+            file.writelines("model\n" for _ in prompts)
+        return [answer.REFUSAL if "refuse" in p else "yes [1]" for p in prompts]
+
+    def verifier(prompts):
+        with open(log, "a") as file:
+            file.writelines("verifier\n" for _ in prompts)
+        return ['{"total_claims": 2, "unsupported_claims": 1, "worst": "w"}' for _ in prompts]
+
+    hits = spark.createDataFrame([(q, 1, s, "t", "c", "x", None, None, None) for q, s in (("a", 0.9), ("b", 0.9), ("c", 0.1))], "qid string, rank int, sim double, text string, company string, title string, section string, location string, compensation string")
+    asked = spark.createDataFrame([("a", "please refuse"), ("b", "please say"), ("c", "unsure"), ("d", "no hits")], "qid string, question string")
+    done = ask.ask(hits, asked, model, verifier, resume="r" * 9000)
+    got = {r.qid: (r.outcome, r.verified) for r in done.collect()}
+    assert got == {"a": ("refused: model", False), "b": ("refused: claims", True), "c": ("refused: similarity", False), "d": ("refused: similarity", False)}
+    assert {r.qid: r.prompt_chars > 6000 for r in done.collect()} == {"a": True, "b": True, "c": False, "d": False}
+    with open(log) as file:
+        assert sorted(file.read().split()) == ["model", "model", "verifier"]
+    assert "refused: 1/2 claims unsupported" in {t for r in done.collect() for t in r.trace}
+
+
+def test_best_configuration(spark):
+    measured = spark.createDataFrame([("a", 0.5, 0.2), ("b", 0.5, 0.3), ("c", 0.4, 0.9), ("d", None, None)], "config string, mrr double, separation double")
+    row = evaluate.best_configuration(measured).first()
+    assert (row.config, row.cleanest) == ("b", "c")
+
+
+def test_golden_replies(spark):
+    rows = [
+        (1, 0.72, 3, "x [2] y [1] z [2] w [9]", 'Sure: {"total_claims": 3, "unsupported_claims": 1, "worst": "w"}'), (2, 0.59, 3, "never shown [1]", '{"total_claims": 1, "unsupported_claims": 0, "worst": ""}'),
+        (3, 0.81, 5, "INSUFFICIENT_CONTEXT", None), (4, 0.66, 5, "a [1] b [5] c [6] d [0]", '{"total_claims": 7, "unsupported_claims": 4, "worst_example": "b"}'), (5, 0.90, 2, "grouped [1, 2]", "no json here"),
+        (6, 0.60, 0, None, '{"total_claims": 0, "unsupported_claims": 0, "worst": ""}'), (7, None, 4, "[4][3][4]", '{"total_claims": 100, "unsupported_claims": 35, "worst": "much"}'),
+    ]
+    df = spark.createDataFrame(rows, "id int, top_sim double, hits int, reply string, judged string")
+    verdict = answer.parse_verdict(F.col("judged"))
+    got = df.select("id", answer.citations(F.col("reply"), F.col("hits")).alias("c"), answer.dangling(F.col("reply"), F.col("hits")).alias("d"), answer.outcome(F.col("top_sim"), F.col("reply"), verdict).alias("o"), verdict.alias("v")).orderBy("id").collect()
+    assert [r.c for r in got] == [[2, 1], [1], [], [1, 5], [], [], [4, 3]] and [r.d for r in got] == [1, 0, 0, 2, 0, 0, 0]
+    assert [r.o for r in got] == ["answered", "refused: similarity", "refused: model", "refused: claims", "answered", "answered", "refused: similarity"]
+    assert [(r.v.total, r.v.unsupported, r.v.worst, r.v.ran) for r in got] == [(3, 1, "w", True), (1, 0, "", True), (0, 0, None, False), (7, 4, "b", True), (0, 0, None, False), (0, 0, "", True), (100, 35, "much", True)]

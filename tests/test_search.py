@@ -4,6 +4,7 @@ import math
 from collections import Counter
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from loomery.operators import retrieve
@@ -85,3 +86,47 @@ def test_explain_and_confidence(spark):
     shown = retrieve.explain(hits).orderBy("rank").collect()
     assert shown[0].source == "Unknown company - t" and shown[0].bm25 == "-" and shown[1].source == "c - Untitled role"
     assert retrieve.confidence(hits).first().confident
+
+
+def length_first(pairs):
+    return [float(len(text or "")) for _, text in pairs]
+
+
+def numbers(texts):
+    return np.array([[len(t), t.count("fox"), 1.0] for t in texts])
+
+
+def test_whole_retrieval(spark):
+    rows = [(i, "acme" if i % 2 else "beta", f"title {i}", " ".join(["red"] * (i % 4) + ["fox"] * (i % 3) + [f"w{i}"])) for i in range(40)] + [(99, None, None, None)]
+    df = spark.createDataFrame(rows, "doc_id long, company string, title string, text string")
+    asked = spark.createDataFrame([("a", "red fox"), ("b", "zebra"), ("n", None)], "qid string, question string")
+    index = retrieve.Index(df)
+    hits = index.retrieve(asked, k=10, first=3).collect()
+    assert {r["rank"] for r in hits if r.qid == "a"} == {1, 2, 3} and all(r.sim is not None for r in hits)
+    only = index.retrieve(asked, Filters(companies=("acme",)).column(), mode="dense", k=4, first=4).collect()
+    assert {r.company for r in only} == {"acme"} and all(r.sparse_rank is None for r in only)
+    assert sorted(map(tuple, index.retrieve(asked, k=10, first=3, ranked=index.rankings(asked, 30)).collect())) == sorted(map(tuple, hits))
+    reranked = index.retrieve(asked.where("qid = 'a'"), scorer=length_first, k=5, first=3).orderBy("rank").collect()
+    assert [len(r.text) for r in reranked] == sorted((len(r.text) for r in reranked), reverse=True) and max(r.fused_rank for r in reranked) <= 10
+    wide = index.widened(asked, 0.99, k=2, first=6)
+    assert {(r.qid, r.widened) for r in wide.select("qid", "widened").distinct().collect()} >= {("b", True)} and wide.groupBy("qid").count().agg(F.max("count")).first()[0] <= 6
+    with pytest.raises(ValueError):
+        index.retrieve(asked, mode="guess")
+    assert retrieve.Index(df.limit(0)).retrieve(asked).count() == 0 and index.retrieve(asked.limit(0)).count() == 0
+
+
+def test_provider_gets_its_prefix_for_questions_alone(spark):
+    df = spark.createDataFrame([(1, "fox"), (2, None)], "doc_id long, text string").withColumn("embedding", F.lit("clash"))
+    provider = retrieve.Provider(numbers, query_prefix="find: ")
+    assert [r.embedding for r in provider.embed(df, "doc_id", "text").orderBy("doc_id").collect()] == [[3.0, 1.0, 1.0], [0.0, 0.0, 1.0]]
+    assert [r.embedding[0] for r in provider.embed(df, "doc_id", "text", is_query=True).orderBy("doc_id").collect()] == [9.0, 6.0]
+    asked = spark.createDataFrame([("q", "fox")], "qid string, question string")
+    assert retrieve.Index(df.withColumn("company", F.lit("c")).withColumn("title", F.lit("t")), provider=provider).retrieve(asked).count() == 2
+
+
+def test_bm25_blocks_and_ties(spark):
+    df = spark.createDataFrame([(i, "red fox" if i < 30 else "blue") for i in range(60)], "doc_id long, text string").repartition(3)
+    asked = spark.createDataFrame([("a", "fox"), ("b", "blue fox"), ("c", "red")], "qid string, question string")
+    one, many = Bm25(df).search(asked, 4), Bm25(df).search(asked, 4, block=1)
+    assert sorted(map(tuple, one.collect())) == sorted(map(tuple, many.collect()))
+    assert [r.doc_id for r in one.where("qid = 'a'").orderBy("rank").collect()] == [0, 1, 2, 3]
