@@ -125,7 +125,7 @@ def test_provider_gets_its_prefix_for_questions_alone(spark):
 
 
 def test_bm25_blocks_and_ties(spark):
-    df = spark.createDataFrame([(i, "red fox" if i < 30 else "blue") for i in range(60)], "doc_id long, text string").repartition(3)
+    df = spark.createDataFrame([(i, "red fox" if i < 20 else "blue" if i < 30 else "grey") for i in range(60)], "doc_id long, text string").repartition(3)
     asked = spark.createDataFrame([("a", "fox"), ("b", "blue fox"), ("c", "red")], "qid string, question string")
     one, many = Bm25(df).search(asked, 4), Bm25(df).search(asked, 4, block=1)
     assert sorted(map(tuple, one.collect())) == sorted(map(tuple, many.collect()))
