@@ -15,5 +15,7 @@ def spark(tmp_path_factory):
 
 @pytest.fixture(autouse=True)
 def _drop_intermediate_tables():
+    from loomery.session import release
+
     yield
     release()
