@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomery.functions.text import NOT_NAMED, bind
+from loomery.session import stash
 
 #: A small default taxonomy; a full one is passed as a parameter of the same shape.
 TAXONOMY: dict[str, list[str]] = {
@@ -102,10 +103,11 @@ def market(fitted: DataFrame, least_share: float = 0.15, first: int = 8) -> Data
     as ``fit`` was asked for. Terms are counted in their task before they are shuffled.
     """
     held = lambda kind, terms, core: F.transform(F.array_distinct(terms), lambda t: F.struct(F.lit(kind).alias("kind"), t.alias("term"), F.array_contains(core, t).alias("core")))
-    real = fitted.where("n_terms > 0")
-    each = real.select(F.inline(F.concat(held("gap", F.col("gaps"), F.col("core_missing")), held("strength", F.col("matched"), F.col("core_met")))))
-    totals = real.agg(F.count(F.lit(1)).alias("total"), F.count_if(F.col("confidence") == "low").alias("low"))
-    counted = each.groupBy("kind", "term").agg(F.count(F.lit(1)).alias("postings"), F.count_if("core").alias("core_in")).crossJoin(F.broadcast(totals))  # one row
+    one = F.array(F.struct(F.lit("").alias("kind"), F.lit("").alias("term"), (F.col("confidence") == "low").alias("core")))  # counts the fits themselves
+    each = fitted.where("n_terms > 0").select(F.inline(F.concat(one, held("gap", F.col("gaps"), F.col("core_missing")), held("strength", F.col("matched"), F.col("core_met")))))
+    counts = stash(each.groupBy("kind", "term").agg(F.count(F.lit(1)).alias("postings"), F.count_if("core").alias("core_in")))
+    totals = counts.where("kind = ''").select(F.col("postings").alias("total"), F.col("core_in").alias("low"))
+    counted = counts.where("kind <> ''").crossJoin(F.broadcast(totals))  # one row
     share = F.col("postings") / F.col("total")
     order = Window.partitionBy("kind").orderBy(F.desc("postings"), F.desc("core_in"), "term")
     ranked = counted.where(share >= least_share).withColumn("share", F.round(share, 6)).withColumn("ord", F.row_number().over(order))
