@@ -102,7 +102,8 @@ def market(fitted: DataFrame, least_share: float = 0.15, first: int = 8) -> Data
     ``first`` of each kind are kept by postings, then core, then term. Gaps are those that the fits list, at most as many
     as ``fit`` was asked for. Terms are counted in their task before they are shuffled.
     """
-    held = lambda kind, terms, core: F.transform(F.array_distinct(terms), lambda t: F.struct(F.lit(kind).alias("kind"), t.alias("term"), F.array_contains(core, t).alias("core")))
+    told = lambda kind, terms, core: F.transform(F.array_distinct(terms), lambda t: F.struct(F.lit(kind).alias("kind"), t.alias("term"), F.array_contains(core, t).alias("core")))
+    held = lambda kind, terms, core: bind(core, lambda c: told(kind, terms, c))
     one = F.array(F.struct(F.lit("").alias("kind"), F.lit("").alias("term"), (F.col("confidence") == "low").alias("core")))  # counts the fits themselves
     each = fitted.where("n_terms > 0").select(F.inline(F.concat(one, held("gap", F.col("gaps"), F.col("core_missing")), held("strength", F.col("matched"), F.col("core_met")))))
     counts = stash(each.groupBy("kind", "term").agg(F.count(F.lit(1)).alias("postings"), F.count_if("core").alias("core_in")))
